@@ -1,0 +1 @@
+"""Place for streaming jobs; none is in scope yet."""
