@@ -3,14 +3,57 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, token_counts, token_files
+from millrace.llm import (
+    byte_bpe,
+    decontaminate,
+    quality_rules,
+    simhash,
+    token_counts,
+    token_files,
+)
 from millrace.llm._scratch import written
 from millrace.sources import read_table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.find_items(docs, items)
+
+
+OP1_SQL = r"""
+WITH words AS (
+    SELECT FALSE AS is_item, doc_id AS id, text FROM documents
+    UNION ALL SELECT TRUE, item_id, text FROM benchmark
+), cut AS (
+    SELECT is_item, id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM words
+), spread AS (
+    SELECT is_item, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+    FROM cut WHERE len(w) > 0
+), shingles AS (
+    SELECT DISTINCT is_item, id, array_to_string(w[i:i + 4], ' ') AS s FROM spread
+), items AS (
+    SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE is_item
+)
+SELECT d.id AS doc_id, item_id, count(*) AS n_shared, n AS n_shingles
+FROM shingles d JOIN items USING (s)
+WHERE NOT d.is_item
+GROUP BY d.id, item_id, n
+HAVING 10 * count(*) >= 8 * n
+"""
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    fingerprint = simhash.hexadecimal(F.col("fp")).alias("fingerprint")
+    return found.select("doc_id", fingerprint, "component_id")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = (
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
@@ -39,10 +82,86 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _letters() -> Column:
+    return F.length(F.regexp_replace("text", "[^\\p{L}]+", ""))
+
+
+def document_rules() -> list[quality_rules.Rule]:
+    """Rules over the columns of ``quality_rules.measures`` and ``text``."""
+    n = F.col("n_words")
+    return [
+        quality_rules.Rule("few words", n < 50),
+        quality_rules.Rule("repeats itself", 100 * F.col("n_repeat_words") > 50 * n),
+        quality_rules.Rule("symbols", 10 * F.col("n_symbols") > n),
+        quality_rules.Rule("equal lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        quality_rules.Rule("short words", F.col("word_chars") < 2 * n),
+        quality_rules.Rule("long words", F.col("word_chars") > 20 * n),
+        quality_rules.Rule("few letters", 2 * _letters() < F.col("word_chars")),
+    ]
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = quality_rules.measures(docs.sample(0.01, 7))
+    judged = quality_rules.cascade(quality_rules.measures(docs), document_rules(), sample)
+    few, repeats = document_rules()[:2]
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        (few.fails | repeats.fails).alias("base_failed"),
+        "kept",
+    )
+
+
+OP7_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)),
+                       lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM cut WHERE len(w) >= 3)
+), again AS (
+    SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), covered AS (
+    SELECT doc_id, count(DISTINCT j) AS n
+    FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY doc_id
+), measured AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+           CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+           CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(len(l) AS BIGINT) AS n_lines,
+           CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+           length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters
+    FROM cut LEFT JOIN covered USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
+            OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 2 * letters < word_chars) AS kept
+FROM measured
+"""
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op3_simhash": op3_simhash,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_files": op5_token_files,
     "op6_token_counts": op6_token_counts,
+    "op7_quality_rules": op7_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_decontamination": OP1_SQL,
+    "op7_quality_rules": OP7_SQL,
+}
