@@ -11,6 +11,7 @@ from millrace.llm import (
     decontaminate,
     quality_rules,
     simhash,
+    substring_dedup,
     token_counts,
     token_files,
 )
@@ -93,7 +94,9 @@ def document_rules() -> list[quality_rules.Rule]:
         quality_rules.Rule("few words", n < 50),
         quality_rules.Rule("repeats itself", 100 * F.col("n_repeat_words") > 50 * n),
         quality_rules.Rule("symbols", 10 * F.col("n_symbols") > n),
-        quality_rules.Rule("equal lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        quality_rules.Rule(
+            "equal lines", (F.col("n_lines") >= 5) & (2 * F.col("n_dup_lines") > F.col("n_lines"))
+        ),
         quality_rules.Rule("short words", F.col("word_chars") < 2 * n),
         quality_rules.Rule("long words", F.col("word_chars") > 20 * n),
         quality_rules.Rule("few letters", 2 * _letters() < F.col("word_chars")),
@@ -145,13 +148,19 @@ WITH cut AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
-            OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+            OR 10 * n_symbols > n_words OR (n_lines >= 5 AND 2 * n_dup_lines > n_lines)
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR 2 * letters < word_chars) AS kept
 FROM measured
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = substring_dedup.remove_repeats(docs)
+    return cleaned.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_simhash": op3_simhash,
@@ -159,6 +168,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLE_SQL = {

@@ -147,7 +147,8 @@ def segments(
     alone. A null ``doc_id`` sorts first and is kept; equal ids sort by a hash of
     the text and then by the text. An empty table gives no segment. Other columns
     are ignored. One shuffle, by ranges of id and hash, so that no id can fill a
-    partition; a task holds one segment.
+    partition; a task holds one segment,
+    which ends behind the slice of texts that fills it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -168,7 +169,7 @@ def segments(
             columns = [pa.array(v, t) for v, t in zip(row, types, strict=True)]
             return pa.RecordBatch.from_arrays(columns, _SEGMENT.names)
 
-        for batch in pieces(batches, "text", SEGMENT_IDS):
+        for batch in pieces(batches, "text"):
             ids, at = encoder.store.lookup(batch.column("text"))
             ids = np.insert(ids, at[1:], end_id)
             keys += batch.column("doc_id").to_pylist()
