@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.llm import (
     byte_bpe,
     decontaminate,
+    ppm,
     quality_rules,
     simhash,
     substring_dedup,
@@ -161,6 +162,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return ppm.score_texts(docs, training=F.coalesce(~held_out, F.lit(True)))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_simhash": op3_simhash,
@@ -169,6 +176,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_ppm": op9_ppm,
 }
 
 ORACLE_SQL = {

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from millrace.llm._arrow import pieces, utf8
 from millrace.llm._scratch import dropped, written
+from millrace.llm._split import split_words
 from millrace.llm._words import BLANKS, SPLIT
 
 # A slice of text takes some 40 times its size while it is worked on.
@@ -53,24 +54,11 @@ class Words:
         from xxhash import xxh3_128_digest
 
         data, rows = utf8(texts)
-        blank = (data == 0x20) | (data >= 0x09) & (data <= 0x0D)
-        inside = ~blank
-        begins = inside.copy()
-        begins[1:] &= blank[:-1]
-        first = rows[:-1][rows[:-1] < rows[1:]]
-        begins[first] |= inside[first]
-        at = np.flatnonzero(begins)
-        # Without blanks, each word ends where the next begins.
-        order = np.cumsum(inside) - 1
-        solid = data[inside]
-        offsets = np.concatenate([order[at], [len(solid)]]).astype(np.int64)
-        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(solid)]
-        coded = pa.Array.from_buffers(pa.large_binary(), len(at), buffers).dictionary_encode()
+        coded, self.starts = split_words(data, rows)
         digests = b"".join(xxh3_128_digest(w) for w in coded.dictionary.to_pylist())
         hashes = np.frombuffer(digests, "<u8").reshape(-1, 2)
         codes = coded.indices.to_numpy()
         self.one, self.two = hashes[codes, 0], hashes[codes, 1]
-        self.starts = np.searchsorted(at, rows)
 
     def windows(self, length: int) -> np.ndarray:
         """Where windows of ``length`` words start that lie within one text."""
