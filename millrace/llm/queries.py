@@ -10,6 +10,7 @@ from millrace.llm import (
     byte_bpe,
     decontaminate,
     ppm,
+    quality_classifier,
     quality_rules,
     simhash,
     substring_dedup,
@@ -168,6 +169,12 @@ def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_texts(docs, training=F.coalesce(~held_out, F.lit(True)))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    judged = quality_classifier.classify(docs, labels)
+    return judged.select("doc_id", "evidence", "p_bad", "keep")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_simhash": op3_simhash,
@@ -177,6 +184,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ppm": op9_ppm,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL = {
