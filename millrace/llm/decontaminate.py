@@ -58,10 +58,11 @@ def item_shingles(
 
 
 def _hits(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """``doc``, ``doc_id`` and the rows of ``items`` whose shingle occurs in the document."""
+    """``doc``, ``doc_id``, ``most`` and the rows of ``items`` whose shingle occurs in the document."""
     w, at = F.col("w"), F.col("at")
-    spread = docs.select("doc", "doc_id", "w", F.explode(shingle_starts(w, width)).alias("at"))
-    hashed = spread.select("doc", "doc_id", "w", "at", shingle_hash(w, at, width).alias("hash"))
+    own = ["doc", "doc_id", "most", "w"]
+    spread = docs.select(*own, F.explode(shingle_starts(w, width)).alias("at"))
+    hashed = spread.select(*own, "at", shingle_hash(w, at, width).alias("hash"))
     return hashed.join(items, "hash").where(shingle_text(w, at, width) == F.col("shingle")).drop("w", "at")
 
 
@@ -74,7 +75,8 @@ def find_items(
     item_id: str = "item_id",
     text: str = "text",
 ) -> DataFrame:
-    """Each document and each item that it contains: ``doc_id``, ``item_id``, ``n_shared``, ``n_shingles``.
+    """Each document and each item that it contains: ``doc`` (hash of id and text), ``doc_id``,
+    ``item_id``, ``n_shared``, ``n_shingles``.
 
     An item is contained if at least ``threshold`` of its distinct shingles of
     ``width`` words occur in the document, A-Z in lower case; a text of fewer words
@@ -97,20 +99,31 @@ def find_items(
 
     cut = own.select("doc", "doc_id", words(_lowered(F.col("text"))).alias("w"))
     # A document of fewer shingles than an item needs cannot contain it.
-    longest = F.greatest(F.size("w") - width + 1, F.lit(1))
-    probed = _hits(cut, sketch.withColumnRenamed("need", "least"), width)
-    found = probed.select("doc", "doc_id", "item", "item_id").distinct()
+    most = F.greatest(F.size("w") - width + 1, F.lit(1))
+    cut = cut.withColumn("most", most)
+    found = _hits(cut, sketch, width).where("most >= need").select("doc", "item").distinct()
     candidates = written(found, "candidates")
 
     docs_ = candidates.select("doc").distinct()
     again = own.join(docs_, "doc", "left_semi").distinct()
     again = again.select("doc", "doc_id", words(_lowered(F.col("text"))).alias("w"))
-    shared = _hits(again.where(longest > 0), every, width)
+    shared = _hits(again.withColumn("most", most), every, width)
     counted = shared.groupBy("doc", "doc_id", "item", "item_id", "need", "n_shingles").agg(
         F.count_distinct("hash", "shingle").alias("n_shared")
     )
     return (
         counted.where(F.col("n_shared") >= F.col("need"))
-        .join(candidates.select("doc", "item"), ["doc", "item"], "left_semi")
-        .select("doc_id", "item_id", "n_shared", "n_shingles")
+        .join(candidates, ["doc", "item"], "left_semi")
+        .select("doc", "doc_id", "item_id", "n_shared", "n_shingles")
     )
+
+
+def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that contain none of ``items``, as ``find_items`` has it."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _key(options).alias("doc"))
+    found = find_items(docs, items, **options).select("doc").distinct()
+    return rows.join(found, "doc", "left_anti").select("row.*")
+
+
+def _key(options: dict) -> Column:
+    return F.xxhash64(options.get("doc_id", "doc_id"), options.get("text", "text"))

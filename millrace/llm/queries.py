@@ -23,7 +23,7 @@ from millrace.sources import read_table
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
-    return decontaminate.find_items(docs, items)
+    return decontaminate.find_items(docs, items).drop("doc")
 
 
 OP1_SQL = r"""

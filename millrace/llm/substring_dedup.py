@@ -6,8 +6,10 @@ symbol. Names are hashes of what they stand for, so every task gives equal runs
 pairs equal names and a round needs no exchange. Whether a symbol begins at a place
 depends on its neighbours alone, so equal passages are cut alike but for a rim at
 both ends that is known: round by round, ``_Rounds`` keeps for each window the
-symbols that its words determine by themselves. The longest symbol of the last round
-with any is the window's anchor. Equal windows have equal anchors.
+symbols that its words determine by themselves. Of the stretches of ``ANCHOR`` such
+symbols after ``ROUNDS`` rounds, the one with the least hash is the window's anchor; a
+window with fewer symbols falls back to an earlier round, at worst to its words. Equal
+windows have equal anchors, and neighbouring windows mostly share one.
 
 Anchors that occur in one place only are thrown out by a grouped count; windows
 around the others are verified by 128 bits of hash over their words, in a second
@@ -17,23 +19,26 @@ grouped count. Only windows with a repeated anchor are ever shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._arrow import pieces, utf8
+from millrace.llm._arrow import appended, pieces, utf8
 from millrace.llm._scratch import dropped, written
 from millrace.llm._split import split_words
-from millrace.llm._words import BLANKS, SPLIT
 
 # A slice of text takes some 40 times its size while it is worked on.
 SLICE_BYTES = 2 << 20
-# A symbol of fewer words is too common for an anchor; all that is known is taken then.
-LEAST_ANCHOR = 6
+# After three rounds a symbol stands for 2.4 words on average (8 at most, but for runs), so
+# an anchor for about seven; one in ten words starts one.
+ROUNDS, ANCHOR = 3, 3
+# Of a number that orders anchors, these bits are a place; the others are a hash.
+_PLACE_BITS = 28
 # The packed form of an anchor has six bits each for two distances within a window.
 LONGEST_WINDOW = 63
 
@@ -113,10 +118,10 @@ class _Rounds:
         return np.append(into, len(self.start) - 1)
 
     def next(self) -> tuple[np.ndarray, ...]:
-        """One round on. Gives windows of which nothing is known any more, and the stretch
-        of words that stood for each before."""
+        """One round on. Gives the windows that keep fewer than ``ANCHOR`` symbols, and the
+        anchor that each had before."""
         self.round += 1
-        old_start, old_left, old_right = self.start, self.left, self.right
+        before = self.name, self.start, self.left, self.right
         # Runs. The first and the last known run may go on outside the window.
         kept = np.ones(len(self.name), bool)
         kept[1:] = (self.name[1:] != self.name[:-1]) | self.first[1:-1]
@@ -143,38 +148,51 @@ class _Rounds:
         left = into[inner + joins[inner]]
         last = np.where(alive, right - 1, 0)
         right = into[last + joins[last]]
-        alive &= right > left
+        alive &= right - left >= ANCHOR
         gone = ~alive
-        best = self._longest(old_start, old_left[gone], old_right[gone])
-        ended = (self.window[gone], *best)
+        name, start, old_left, old_right = before
+        ended = (self.window[gone], *_least(name, start, old_left[gone], old_right[gone]))
         self.name = merged
         self.window, self.left, self.right = self.window[alive], left[alive], right[alive]
         return ended
 
-    @staticmethod
-    def _longest(
-        start: np.ndarray, left: np.ndarray, right: np.ndarray
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """The longest of the symbols, the first on ties; all of them if it is short."""
-        begin, end = start[left], start[left + 1]
-        more, at = np.flatnonzero(left + 1 < right), left + 1
-        while len(more):
-            b, e = start[at[more]], start[at[more] + 1]
-            longer = e - b > end[more] - begin[more]
-            begin[more[longer]], end[more[longer]] = b[longer], e[longer]
-            at[more] += 1
-            more = more[at[more] < right[more]]
-        short = end - begin < LEAST_ANCHOR
-        return np.where(short, start[left], begin), np.where(short, start[right], end)
+    def rest(self) -> tuple[np.ndarray, ...]:
+        """The windows that are left, and their anchors in this round."""
+        return self.window, *_least(self.name, self.start, self.left, self.right)
+
+
+def _least(
+    name: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of the stretches of ``ANCHOR`` symbols between ``left`` and ``right``, the words of the one
+    with the least hash, the first on ties. Minima are taken from a table of powers of two."""
+    if not len(left):
+        return left, left
+    n = len(name) - ANCHOR + 1
+    if n >> _PLACE_BITS:
+        raise ValueError("a text has too many words")
+    key = name[:n]
+    for k in range(1, ANCHOR):
+        key = _mix(key + name[k : n + k], -1 - k)
+    low = _U((1 << _PLACE_BITS) - 1)
+    table = key & ~low | np.arange(n, dtype=_U)
+    last = right - ANCHOR + 1
+    power = np.log2(last - left).astype(int)
+    out = np.empty(len(left), _U)
+    for k in range(int(power.max()) + 1):
+        of = power == k
+        out[of] = np.minimum(table[left[of]], table[last[of] - (1 << k)])
+        step = 1 << k
+        table[:-step] = np.minimum(table[:-step], table[step:].copy()) if n > step else table[:-step]
+    at = (out & low).astype(np.int64)
+    return start[at], start[at + ANCHOR]
 
 
 def anchors(words: Words, length: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: first and last window, where the anchor starts, its key."""
     windows = words.windows(length)
     rounds = _Rounds(words, windows, length)
-    found = []
-    while len(rounds.window):
-        found.append(rounds.next())
+    found = [rounds.next() for _ in range(ROUNDS)] + [rounds.rest()] if len(windows) else []
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none, none
@@ -191,10 +209,6 @@ def anchors(words: Words, length: int) -> tuple[np.ndarray, ...]:
     return window, last, begin, keys
 
 
-def _owner(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
     """``key``, ``owner`` (of a text) and ``packed``: first window, steps to the anchor and to the last window."""
 
@@ -236,12 +250,12 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _without(texts: DataFrame, length: int) -> DataFrame:
-    """``owner``, ``changed_text`` and ``changed_words`` (how many left) without the windows at ``at``."""
-    names = ["owner", "changed_text", "n_removed"]
+    """``owner`` and ``n_words`` of each text, and what is left without the windows at ``at``."""
+    names = ["owner", "n_words", "changed_text", "n_removed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            texts_, gone = [], []
+            texts_, gone, sizes = [], [], []
             columns = (batch.column(c).to_pylist() for c in ("text", "at"))
             for text, at in zip(*columns, strict=True):
                 words = text.encode().split()
@@ -251,13 +265,32 @@ def _without(texts: DataFrame, length: int) -> DataFrame:
                 keep = np.cumsum(change[:-1]) == 0
                 texts_.append(b" ".join(compress(words, keep)).decode())
                 gone.append(len(words) - int(keep.sum()))
-            columns = [batch.column("owner"), pa.array(texts_, pa.string()), pa.array(gone, pa.int64())]
+                sizes.append(len(words))
+            sizes, gone = pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())
+            columns = [batch.column("owner"), sizes, pa.array(texts_, pa.string()), gone]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = T.StructType(
-        [T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.StringType(), T.LongType()))]
-    )
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, "owner long, n_words long, changed_text string, n_removed long")
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``n_words``, ``plain`` (words with one blank between two) and ``plain_sha``
+    in place of ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            words = [t.split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            plain = [b" ".join(w) for w in words]
+            yield appended(
+                batch.drop_columns(["text"]),
+                n_words=pa.array([len(w) for w in words], pa.int64()),
+                plain=pa.array(plain, pa.binary()).cast(pa.string()),
+                plain_sha=pa.array([sha256(p).hexdigest() for p in plain], pa.string()),
+            )
+
+    new = (("n_words", T.LongType()), ("plain", T.StringType()), ("plain_sha", T.StringType()))
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    return rows.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, t) for n, t in new)]))
 
 
 def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> DataFrame:
@@ -272,7 +305,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> Dat
     so repeated rows lose all their windows. Empty tables give no rows; an existing
     column of one of the four names is an error.
 
-    Texts are told apart by 64-bit hash and number of words, anchors by 64 bits
+    Texts are told apart by 64-bit hash and length, anchors by 64 bits
     (which can only add candidates) and windows by 128. Equal texts are worked on
     once. A text must fit a task, with some 40 times its size.
     """
@@ -282,15 +315,11 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> Dat
     clash = {*new} & {*docs.columns}
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already")
-    # Rows carry their own columns in one, so that no name can clash.
-    bare = F.regexp_replace(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)), SPLIT, " ")
-    gaps = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit("")))
-    words = F.when(bare == "", 0).otherwise(gaps + 1).cast("long")
-    own = docs.select(_owner(F.col(text)).alias("owner"), F.coalesce(text, F.lit("")).alias("text"))
-
-    sizes = docs.select(_owner(F.col(text)).alias("owner"), words.alias("n"))
-    copies = sizes.groupBy("owner", "n").agg(F.count(F.lit(1)).alias("copies"))
-    copies = written(copies.where((F.col("copies") > 1) & (F.col("n") >= length)), "copied-texts")
+    content = F.coalesce(text, F.lit(""))
+    identity = [F.xxhash64(content).alias("owner"), F.length(content).alias("size")]
+    own = docs.select(identity[0], content.alias("text"))
+    copies = docs.select(*identity).groupBy("owner", "size").agg(F.count(F.lit(1)).alias("n"))
+    copies = written(copies.where("n > 1").select("owner", "size"), "copied-texts")
 
     found = written(_anchors(own, length), "anchors")
     where = F.shiftright("packed", 12) + F.shiftright("packed", 6).bitwiseAND(F.lit(63))
@@ -311,23 +340,22 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> Dat
     twice = twice.where("low <> high").select("one", "two")
     hits = windows.join(twice, ["one", "two"], "left_semi").groupBy("owner")
     hits = hits.agg(F.collect_list("at").alias("at"))
-    changed = written(_without(texts.select("owner", "text").join(hits, "owner"), length), "changed")
+    changed = texts.select("owner", "text").join(hits, "owner")
+    changed = written(_without(changed, length), "changed")
     dropped(windows)
-
-    whole = copies.select("owner", F.lit("").alias("changed_text"), F.col("n").alias("n_removed"))
-    changed = changed.join(copies, "owner", "left_anti").unionByName(whole)
     changed = changed.withColumn("sha", F.sha2("changed_text", 256))
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        _owner(F.col(text)).alias("owner"),
-        words.alias("n_words"),
-        bare.alias("bare"),
-        F.sha2(bare, 256).alias("whole_sha"),
-    )
-    return rows.join(changed, "owner", "left").select(
+
+    # Rows carry their own columns in one, so that no name can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *identity, content.alias("text"))
+    rows = _plain(rows).join(copies.withColumn("copied", F.lit(True)), ["owner", "size"], "left")
+    rows = rows.join(changed, ["owner", "n_words"], "left")
+    whole = F.col("copied").isNotNull() & (F.col("n_words") >= length)
+    return rows.select(
         "row.*",
         "n_words",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("changed_text", "bare").alias("kept_text"),
-        F.coalesce("sha", "whole_sha").alias("kept_sha256"),
+        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(whole, "").otherwise(F.coalesce("changed_text", "plain")).alias("kept_text"),
+        F.when(whole, F.sha2(F.lit(""), 256))
+        .otherwise(F.coalesce("sha", "plain_sha"))
+        .alias("kept_sha256"),
     )
