@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.llm import (
     byte_bpe,
     decontaminate,
+    language_id,
     ppm,
     quality_classifier,
     quality_rules,
@@ -51,6 +52,11 @@ HAVING 10 * count(*) >= 8 * n
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, docs = (read_table(spark, sf_dir, t) for t in ("pages", "documents"))
+    return language_id.identify(pages, docs)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     fingerprint = simhash.hexadecimal(F.col("fp")).alias("fingerprint")
@@ -177,6 +183,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_files": op5_token_files,
