@@ -1,5 +1,5 @@
 """Column functions."""
 
-from millrace.functions.exact import sum_cents
+from millrace.functions.exact import exact_sum
 
-__all__ = ["sum_cents"]
+__all__ = ["exact_sum"]

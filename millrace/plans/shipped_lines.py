@@ -12,14 +12,14 @@ from millrace.sources import read_table
 
 SHIPPED_BY = date(1998, 9, 2)
 
-ORACLE_SQL = """
+ORACLE_SQL = f"""
 SELECT l_returnflag,
        l_linestatus,
-       CAST(SUM(CAST(l_quantity AS DECIMAL(15, 2))) AS DOUBLE) AS sum_qty,
-       CAST(SUM(CAST(l_extendedprice AS DECIMAL(15, 2))) AS DOUBLE) AS sum_base_price,
+       CAST(SUM(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS sum_qty,
+       CAST(SUM(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS sum_base_price,
        COUNT(*) AS count_order
 FROM lineitem
-WHERE l_shipdate < DATE '1998-09-03'
+WHERE l_shipdate < DATE '{SHIPPED_BY + timedelta(days=1)}'
 GROUP BY l_returnflag, l_linestatus
 """
 

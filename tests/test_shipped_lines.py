@@ -1,10 +1,12 @@
 import re
+from collections import Counter
 from datetime import date, datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.plans.shipped_lines import shipped_line_summary, summarize_shipped_lines
+from millrace.plans.shipped_lines import ORACLE_SQL, shipped_line_summary, summarize_shipped_lines
 
 COLUMNS = (
     "l_returnflag string, l_linestatus string, l_quantity double, "
@@ -104,3 +106,19 @@ def test_hot_group_sends_one_row_per_task(spark, lineitem_path, capsys):
     stage = re.search(r"ShuffleQueryStage.*rowCount=(\d+)\)", capsys.readouterr().out)
     shuffled = int(stage.group(1))
     assert shuffled <= len(rows) * lines.rdd.getNumPartitions()
+
+
+def test_large_amounts_and_null_keys_equal_the_oracle(spark, tmp_path):
+    rows = [
+        ("A", None, 1.0, 2e13, datetime(1998, 9, 2)),
+        ("A", None, 2.5, 9e13, datetime(1998, 1, 1)),
+        (None, "F", 3.0, -0.01, datetime(1998, 9, 3)),
+        (None, "F", 3.0, 0.01, datetime(1998, 9, 2, 23)),
+    ]
+    path = tmp_path / "lineitem.parquet"
+    spark.createDataFrame(rows, COLUMNS).write.parquet(str(path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{path}/*.parquet')")
+        expected = Counter(con.execute(ORACLE_SQL).fetchall())
+    assert Counter(map(tuple, shipped_line_summary(spark, str(tmp_path)).collect())) == expected
+    assert ("A", None, 3.5, 1.1e14, 2) in expected
