@@ -71,29 +71,35 @@ def _trait_counts(sample: DataFrame) -> DataFrame:
     return counted.groupBy("trait").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def boost(has: np.ndarray, bad: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
-    """Intercept and weight of each column of ``has`` (rows by traits) as log odds of ``bad``.
+def boost(
+    row: np.ndarray, trait: np.ndarray, n_traits: int, bad: np.ndarray, rounds: int = ROUNDS
+) -> tuple[float, np.ndarray]:
+    """Intercept and weight of each trait as log odds of ``bad``, given which ``row`` has which ``trait``.
 
     Each round takes the trait that parts the rows best as they are weighted now, and
     adds its weighted log odds; rows without it are left alone. Later rounds see little
     weight in what earlier ones explain, so words that only go along with others stay out.
     """
+    order = np.argsort(trait, kind="stable")
+    row, trait = row[order], trait[order]
+    first = np.searchsorted(trait, np.arange(n_traits + 1))
     sign = np.where(bad, 1.0, -1.0)
     smooth = 1.0
     n_bad, n_good = float(bad.sum()), float((~bad).sum())
     start = float(np.log((n_bad + smooth) / (n_good + smooth)))
     score = np.full(len(bad), start)
-    weights = np.zeros(has.shape[1])
-    for _ in range(rounds):
+    weights = np.zeros(n_traits)
+    for _ in range(rounds if n_traits else 0):
         w = 1.0 / (1.0 + np.exp(sign * score))  # how wrong each row still is
-        for_, against = (w * bad) @ has, (w * ~bad) @ has
+        for_ = np.bincount(trait, (w * bad)[row], n_traits)
+        against = np.bincount(trait, (w * ~bad)[row], n_traits)
         gain = np.abs(np.sqrt(for_) - np.sqrt(against))
         best = int(gain.argmax())
         if gain[best] < 1.0:
             break
         step = float(np.log((for_[best] + smooth) / (against[best] + smooth)))
         weights[best] += step
-        score += step * has[:, best]
+        score[row[first[best] : first[best + 1]]] += step
     return start, weights
 
 
@@ -116,10 +122,10 @@ def fit(sample: DataFrame) -> tuple[float, dict[bytes, float]]:
             yield pa.RecordBatch.from_arrays(columns, ["bad", "own"])
 
     rows = sample.mapInArrow(run, "bad int, own array<int>").toArrow()
-    has = np.zeros((rows.num_rows, len(names)), np.float32)
     own = rows["own"].combine_chunks()
-    has[np.repeat(np.arange(rows.num_rows), own.value_lengths()), own.flatten()] = 1
-    start, weights = boost(has, rows["bad"].to_numpy().astype(bool))
+    row = np.repeat(np.arange(rows.num_rows, dtype=np.int32), own.value_lengths())
+    bad = rows["bad"].to_numpy().astype(bool)
+    start, weights = boost(row, own.flatten().to_numpy(), len(names), bad)
     return start, {name: w for name, w in zip(names, weights.tolist(), strict=True) if w}
 
 
