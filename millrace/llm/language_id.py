@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from millrace.llm._arrow import appended, pieces, utf8
 from millrace.llm._scratch import written
 from millrace.llm._split import lowered
+from millrace.llm._words import let
 
 # Trigrams are hashed to so many numbers, so the model has that many rows.
 BUCKETS = 1 << 16
@@ -110,11 +111,20 @@ def _likelihoods(pages: DataFrame, model: np.ndarray) -> DataFrame:
     return pages.mapInArrow(run, T.StructType([*kept, new]))
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
 def _posterior(logs: Column) -> Column:
     """Probabilities from log weights."""
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
+
+    def weights(x: Column) -> Column:
+        return let(F.array_max(x), lambda top: F.transform(x, lambda y: F.exp(y - top)))
+
+    def scaled(w: Column) -> Column:
+        return let(_total(w), lambda all_: F.transform(w, lambda y: y / all_))
+
+    return let(logs, lambda x: let(weights(x), scaled))
 
 
 def _sums(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -190,23 +200,26 @@ def identify(
         return F.coalesce(left, none)
 
     def shrunk(counts: Column, wider: Column) -> Column:
-        size = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(counts, wider, lambda c, w: (c + WORTH * w) / (size + WORTH))
+        def of(c: Column) -> Column:
+            size = _total(c)
+            mix = lambda all_: F.zip_with(c, wider, lambda x, w: (x + WORTH * w) / (all_ + WORTH))
+            return let(size, mix)
+
+        return let(counts, of)
 
     even = F.array(*(F.lit(1.0 / n) for _ in languages))
-    step = joined.withColumn("prior", shrunk(without_own(everywhere), even))
+    prior = shrunk(without_own(everywhere), even)
     for level in reversed(LEVELS):
-        step = step.withColumn("counts", without_own(F.col(f"{level}_sums")))
-        step = step.withColumn("prior", shrunk(F.col("counts"), F.col("prior")))
+        prior = shrunk(without_own(F.col(f"{level}_sums")), prior)
     # Of the pages of each language, the share that declares what this page does.
-    step = step.withColumn("counts", without_own(F.col("said")))
-    step = step.withColumn("others", without_own(everywhere))
-    told = F.zip_with("counts", "others", lambda c, o: F.log((c + 0.5) / (o + 1.0)))
-    step = step.withColumn("told", told)
-    logs = F.zip_with(
-        F.zip_with("loglik", F.transform("prior", lambda x: F.log(x)), lambda a, b: a + b), "told", lambda a, b: a + b
+    told = F.zip_with(
+        without_own(F.col("said")),
+        without_own(everywhere),
+        lambda c, others: F.log((c + 0.5) / (others + 1.0)),
     )
-    step = step.withColumn("q", _posterior(logs))
+    evidence = F.zip_with("loglik", told, lambda a, b: a + b)
+    logs = F.zip_with(evidence, prior, lambda a, b: a + F.log(b))
+    step = joined.withColumn("q", _posterior(logs))
 
     def likeliest(p: str) -> Column:
         return F.get(names, (F.array_position(p, F.array_max(p)) - 1).cast("int"))

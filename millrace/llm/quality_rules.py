@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._scratch import dropped, written
-from millrace.llm._words import BLANKS, words
+from millrace.llm._words import BLANKS, let, words
 
 _LEAST_SECONDS = 1e-3
 
@@ -87,53 +87,51 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text has zero of each; other columns pass through, repeated rows too. ``n_lines`` are lines with a word, ``n_dup_lines``
     those equal to an earlier one, ``n_repeat_words`` the words in windows of three
     that occur more than once in the text. Windows are compared by a 64-bit hash
-    of their words within one text. All of it is column work on single rows:
-    a text is sorted, never paired with itself.
+    of their words within one text. All of it is column work on single rows: the
+    windows of a text are sorted, never paired.
     """
     clash = {*_COUNTS} & {*docs.columns}
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already")
-    row = F.col("row")
-    t = F.coalesce(row[text], F.lit(""))
-    own = docs.select(F.struct(*docs.columns).alias("row"))
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
-    cut = own.select(
-        "row",
-        words(t).alias("w"),
-        (F.length(t) - F.regexp_count(t, F.lit("[\\x20\\x09-\\x0D]"))).alias("word_chars"),
-        F.regexp_count(t, F.lit("[#*$%&|<>]")).alias("n_symbols"),
-        lines.alias("lines"),
+    chars = F.length(t) - F.regexp_count(t, F.lit("[\\x20\\x09-\\x0D]"))
+    counts = [
+        F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+")),
+        chars,
+        F.regexp_count(t, F.lit("[#*$%&|<>]")),
+        F.size(lines),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        let(words(t), lambda w: let(_triples(w), _covered)),
+    ]
+    return docs.select(
+        "*", *(c.cast("long").alias(name) for name, c in zip(_COUNTS, counts, strict=True))
     )
-    w = F.col("w")
+
+
+def _triples(w: Column) -> Column:
+    """A hash of each three words in a row."""
     n = F.size(w)
     starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    counted = cut.select(
-        "row",
-        n.cast("long").alias("n_words"),
-        F.col("word_chars").cast("long").alias("word_chars"),
-        F.col("n_symbols").cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform(
-            starts, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-        ).alias("h"),
-    )
-    rest = [c for c in counted.columns if c != "h"]
-    # Most texts repeat no window, and those are not sorted.
-    placed = F.transform(F.col("h"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    repeats = F.size(F.array_distinct("h")) < F.size("h")
-    none = F.array().cast("array<struct<h:bigint,i:int>>")
-    ordered = counted.select(
-        *rest, F.when(repeats, F.sort_array(placed)).otherwise(none).alias("s")
-    )
-    s = F.col("s")
+    return F.transform(starts, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(3))))
+
+
+def _covered(h: Column) -> Column:
+    """How many words lie in triples whose hash occurs more than once."""
+    placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+
+    def repeated(s: Column) -> Column:
+        def twin(x: Column, k: Column) -> Column:
+            before, after = F.get(s, k - 1)["h"], F.get(s, k + 1)["h"]
+            return x["h"].eqNullSafe(before) | x["h"].eqNullSafe(after)
+
+        return F.sort_array(F.filter(s, twin)["i"])
 
-    def twin(x: Column, k: Column) -> Column:
-        before, after = F.get(s, k - 1)["h"], F.get(s, k + 1)["h"]
-        return x["h"].eqNullSafe(before) | x["h"].eqNullSafe(after)
+    def total(p: Column) -> Column:
+        gap = F.transform(p, lambda x, k: F.least(F.coalesce(F.get(p, k + 1) - x, F.lit(3)), F.lit(3)))
+        return F.aggregate(gap, F.lit(0), lambda a, b: a + b)
 
-    again = ordered.select(*rest, F.sort_array(F.filter(s, twin)["i"]).alias("p"))
-    p = F.col("p")
-    new = F.transform(p, lambda x, k: F.least(F.coalesce(F.get(p, k + 1) - x, F.lit(3)), F.lit(3)))
-    total = F.aggregate(new, F.lit(0).cast("long"), lambda a, b: a + b)
-    return again.select("row.*", *rest[1:], total.alias("n_repeat_words"))
+    # Most texts repeat no triple, and those are not sorted.
+    some = F.size(F.array_distinct(h)) < F.size(h)
+    sorted_ = let(F.sort_array(placed), lambda s: let(repeated(s), total))
+    return F.when(some, sorted_).otherwise(F.lit(0))
