@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm._arrow import appended, binary_rows, pieces
+from millrace.llm._arrow import appended, binary_rows, pieces, utf8
 from millrace.llm._chunks import ChunkStore
 
 _NORMAL, _UNKNOWN = 1, 2
 _BPE = 2
+# Of texts or ids at a time: a worker holds about 20 times as much.
+SLICE_BYTES = 4 << 20
 
 
 def byte_characters() -> list[str]:
@@ -128,6 +130,28 @@ def _widened(frame: DataFrame, *new: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*frame.schema.fields, *(T.StructField(n, t) for n, t in new)])
 
 
+def _encoded(
+    batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str
+) -> Iterator[pa.RecordBatch]:
+    store = _coder(path, pattern).store
+    for batch in pieces(batches, text, SLICE_BYTES):
+        ids, rows = store.lookup(batch.column(text))
+        yield appended(
+            batch, n_tokens=pa.array(np.diff(rows)), ids=binary_rows(ids.astype("<u4"), rows)
+        )
+
+
+def _decoded(
+    batches: Iterator[pa.RecordBatch], path: str, pattern: str, ids: str
+) -> Iterator[pa.RecordBatch]:
+    coder = _coder(path, pattern)
+    for batch in pieces(batches, ids, SLICE_BYTES):
+        data, rows = utf8(batch.column(ids))
+        yield appended(
+            batch, decoded=binary_rows(*coder.decode(data.view("<u4"), rows // 4))
+        )
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens`` (long) and ``ids``: little-endian unsigned 32-bit ids on end.
 
@@ -137,18 +161,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     ``ids`` is an error. No shuffle: a lost task encodes its own rows again.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _coder(path, pattern).store
-        for batch in pieces(batches, text):
-            ids, rows = store.lookup(batch.column(text))
-            yield appended(
-                batch,
-                n_tokens=pa.array(np.diff(rows)),
-                ids=binary_rows(ids.astype("<u4"), rows),
-            )
-
     schema = _widened(docs, ("n_tokens", T.LongType()), ("ids", T.BinaryType()))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: _encoded(batches, path, pattern, text), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -157,13 +171,21 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
     Null ids decode to no bytes. An id outside the vocabulary raises.
     """
 
+    schema = _widened(encoded, ("decoded", T.BinaryType()))
+    return encoded.mapInArrow(lambda batches: _decoded(batches, path, pattern, ids), schema)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` without ``text``, with ``n_tokens``, ``ids`` and ``decoded``: both steps in one pass.
+
+    The same as ``encode`` and ``decode`` one after the other, but a task needs one
+    Python worker instead of two.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path, pattern)
-        for batch in pieces(batches, ids):
-            column = batch.column(ids).fill_null(b"")
-            raw = np.frombuffer(b"".join(column.to_pylist()), "<u4")
-            lengths = [len(v) // 4 for v in column.to_pylist()]
-            data, rows = coder.decode(raw, np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]))
-            yield appended(batch, decoded=binary_rows(data, rows))
-
-    return encoded.mapInArrow(run, _widened(encoded, ("decoded", T.BinaryType())))
+        encoded = _encoded(batches, path, pattern, text)
+        bare = (batch.drop_columns([text]) for batch in encoded)
+        yield from _decoded(bare, path, pattern, "ids")
+
+    new = [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("decoded", T.BinaryType())]
+    return docs.mapInArrow(run, _widened(docs.drop(text), *new))

@@ -69,9 +69,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN,
     )
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, path, pattern).drop("text")
-    decoded = byte_bpe.decode(encoded, path, pattern)
-    return decoded.select(
+    coded = byte_bpe.round_trip(docs, path, pattern)
+    return coded.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
