@@ -335,9 +335,9 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> Dat
     once = once.groupBy("owner").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
     texts = written(once, "texts-with-spans")
     windows = written(_windows(texts, length), "windows")
-    place = F.xxhash64("owner", "at")
-    twice = windows.groupBy("one", "two").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    twice = twice.where("low <> high").select("one", "two")
+    # A window stands once for each text and place, so a count says whether it repeats.
+    twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"))
+    twice = twice.where("n > 1").select("one", "two")
     hits = windows.join(twice, ["one", "two"], "left_semi").groupBy("owner")
     hits = hits.agg(F.collect_list("at").alias("at"))
     changed = texts.select("owner", "text").join(hits, "owner")
