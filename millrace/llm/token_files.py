@@ -15,6 +15,7 @@ that to any store Spark reaches and commit it once.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,10 @@ MAGIC = b"MILLTOK1"
 HEADER = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 8192
 SEGMENT_IDS = 1 << 20
+# A blank and then characters of one or two bytes of which none is white space.
+_PLAIN = re.compile(rb" [\x21-\x7E\x80-\xBF\xC3-\xDF]+").fullmatch
+# So many chunks are encoded on end.
+RUN = 1000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -112,11 +117,29 @@ class Encoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.bits = bits_for(self.model.get_vocab_size(with_added_tokens=True))
-        self.store = ChunkStore(self.encode)
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.store = ChunkStore(self.encode, limit=1_000_000)
 
     def encode(self, chunks: list[bytes]) -> list[list[int]]:
-        texts = [c.decode() for c in chunks]
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each chunk. Those of a blank and a word are encoded many on end, which is
+        faster, and taken apart before each token that begins with the blank."""
+        plain, odd = [], []
+        for c in chunks:
+            (plain if _PLAIN(c) else odd).append(c)
+        found = dict(zip(odd, self._ids(odd), strict=True))
+        runs = [plain[at : at + RUN] for at in range(0, len(plain), RUN)]
+        for run, ids in zip(runs, self._ids([b"".join(run) for run in runs]), strict=True):
+            at = np.append(np.flatnonzero(self.blank[ids]), len(ids)).tolist()
+            if len(at) != len(run) + 1:
+                raise ValueError("a blank before a word must begin a token")
+            found.update((c, ids[a:b]) for c, a, b in zip(run, at, at[1:]))
+        return [found[c] for c in chunks]
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        decoded = [t.decode() for t in texts]
+        return [e.ids for e in self.model.encode_batch_fast(decoded, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)
