@@ -120,7 +120,7 @@ class Encoder:
         vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.store = ChunkStore(self.encode, limit=1_000_000)
+        self.store = ChunkStore(self.encode, limit=700_000)
 
     def encode(self, chunks: list[bytes]) -> list[list[int]]:
         """Ids of each chunk. Those of a blank and a word are encoded many on end, which is
