@@ -227,7 +227,8 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """``one``, ``two`` (hashes), ``owner`` and ``at`` of each window that ``spans`` (packed) name."""
+    """``one``, ``two`` (hashes), ``number`` (of the text) and ``at`` of each window that ``spans``
+    (packed) name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
@@ -242,11 +243,11 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
             at = np.flatnonzero(np.cumsum(change) > 0)
             one, two = (r.of(at, at + length).view(np.int64) for r in _rollings(words))
             text = np.searchsorted(words.starts, at, side="right") - 1
-            owner = batch.column("owner").to_numpy()[text]
-            columns = [pa.array(c) for c in (one, two, owner, at - words.starts[text])]
-            yield pa.RecordBatch.from_arrays(columns, ["one", "two", "owner", "at"])
+            number = batch.column("number").to_numpy()[text]
+            columns = [pa.array(c) for c in (one, two, number, at - words.starts[text])]
+            yield pa.RecordBatch.from_arrays(columns, ["one", "two", "number", "at"])
 
-    return texts.mapInArrow(run, "one long, two long, owner long, at long")
+    return texts.mapInArrow(run, "one long, two long, number long, at long")
 
 
 def _without(texts: DataFrame, length: int) -> DataFrame:
@@ -333,14 +334,17 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> Dat
     once = own.join(spans, "owner")
     # One row of each text: copies shrink before the shuffle, in each map task.
     once = once.groupBy("owner").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+    # Numbers are mostly zero bytes, which shuffle smaller than hashes.
+    once = once.withColumn("number", F.monotonically_increasing_id())
     texts = written(once, "texts-with-spans")
+    dropped(spans)
     windows = written(_windows(texts, length), "windows")
     # A window stands once for each text and place, so a count says whether it repeats.
     twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"))
     twice = twice.where("n > 1").select("one", "two")
-    hits = windows.join(twice, ["one", "two"], "left_semi").groupBy("owner")
+    hits = windows.join(twice, ["one", "two"], "left_semi").groupBy("number")
     hits = hits.agg(F.collect_list("at").alias("at"))
-    changed = texts.select("owner", "text").join(hits, "owner")
+    changed = texts.select("number", "owner", "text").join(hits, "number")
     changed = written(_without(changed, length), "changed")
     dropped(windows)
     changed = changed.withColumn("sha", F.sha2("changed_text", 256))
