@@ -130,6 +130,26 @@ def test_crowded_near_copies_link_to_their_middle(spark, monkeypatch):
     assert [r.doc_id for r in kept.collect()] == [0]
 
 
+def kept_by_brute_force(rows):
+    sets = {i: set(plain.shingles(t, 5)) for i, t in rows}
+    alike = [(a, b) for a, b in combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return sorted(set(plain.linked(sets, alike).values()))
+
+
+@pytest.mark.parametrize("changes", [(1, 4), (2, 3), (3, 4)])
+def test_families_without_their_original_are_linked_like_by_brute_force(spark, changes):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for at in rng.sample(range(200), rng.randint(*changes)):
+            own[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(rows)
+
+
 def repeats():
     rng = random.Random(5)
     base = [[rng.choice("ab") for _ in range(400)] for _ in range(3)]
