@@ -26,13 +26,14 @@ from millrace.llm._scratch import written
 
 # Bounds of the fit: labelled rows in the sample, and words and traits that may have a rule.
 SAMPLE_ROWS, RULES = 20_000, 2_000
-ROUNDS = 60
 # Up to so many sites with labels are sent to every executor.
 BROADCAST_SITES = 100_000
 SYMBOLS = b"#*$%&|<>"
 # Bytes of a word's beginning.
 PREFIXES = (4, 5, 6)
 _LIMIT = 8.0
+# Of the loss in a round; a trait that gains 1 can lessen it by more.
+_LEAST_DROP = 0.01
 
 
 def traits(text: bytes | None) -> set[bytes]:
@@ -78,13 +79,15 @@ def _trait_counts(sample: DataFrame) -> DataFrame:
 
 
 def boost(
-    row: np.ndarray, trait: np.ndarray, n_traits: int, bad: np.ndarray, rounds: int = ROUNDS
+    row: np.ndarray, trait: np.ndarray, n_traits: int, bad: np.ndarray
 ) -> tuple[float, np.ndarray]:
     """Intercept and weight of each trait as log odds of ``bad``, given which ``row`` has which ``trait``.
 
     Each round takes the trait that parts the rows best as they are weighted now, and
     adds its weighted log odds; rows without it are left alone. Later rounds see little
     weight in what earlier ones explain, so words that only go along with others stay out.
+    Rounds end when no trait gains 1; a step that would not lessen the loss is halved, so
+    every round lessens it and they do end.
     """
     order = np.argsort(trait, kind="stable")
     row, trait = row[order], trait[order]
@@ -95,7 +98,7 @@ def boost(
     start = float(np.log((n_bad + smooth) / (n_good + smooth)))
     score = np.full(len(bad), start)
     weights = np.zeros(n_traits)
-    for _ in range(rounds if n_traits else 0):
+    while n_traits:
         w = 1.0 / (1.0 + np.exp(sign * score))  # how wrong each row still is
         for_ = np.bincount(trait, (w * bad)[row], n_traits)
         against = np.bincount(trait, (w * ~bad)[row], n_traits)
@@ -104,8 +107,12 @@ def boost(
         if gain[best] < 1.0:
             break
         step = float(np.log((for_[best] + smooth) / (against[best] + smooth)))
+        own = row[first[best] : first[best + 1]]
+        loss = np.logaddexp(0, -sign[own] * score[own]).sum()
+        while np.logaddexp(0, -sign[own] * (score[own] + step)).sum() > loss - _LEAST_DROP:
+            step /= 2
         weights[best] += step
-        score[row[first[best] : first[best + 1]]] += step
+        score[own] += step
     return start, weights
 
 
