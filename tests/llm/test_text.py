@@ -293,3 +293,11 @@ def test_pipeline_of_nulls_and_nothing(spark, small):
         for _, stage in corpus_pipeline.STAGES:
             frame = stage(spark, frame, SMALL)
         frame.collect()
+
+
+def test_pipeline_keeps_documents_without_labels(spark, small, tmp_path):
+    unknown = small["labels"].limit(5).withColumn("doc_id", F.col("doc_id") + 10**12)
+    for name, labels in (("none", small["labels"].limit(0)), ("unknown", unknown)):
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = corpus_pipeline.drop_bad(spark, small["documents"], f"{tmp_path}/{name}")
+        assert kept.count() == small["documents"].count()
