@@ -150,6 +150,17 @@ def test_families_without_their_original_are_linked_like_by_brute_force(spark, c
     assert sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(rows)
 
 
+def test_cut_and_extended_copies_are_found(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(80):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        more = [f"v{rng.randrange(10**6)}" for _ in range(70)]
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(base[:243])), (2000 + i, " ".join(base + more))]
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(rows) == list(range(80))
+
+
 def repeats():
     rng = random.Random(5)
     base = [[rng.choice("ab") for _ in range(400)] for _ in range(3)]
