@@ -15,7 +15,13 @@ def lowered(data: np.ndarray) -> np.ndarray:
 def split_words(data: np.ndarray, rows: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of texts that lie on end, dictionary-coded, and the
     number of the first word of each text (and of one more)."""
-    inside = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
+    return split_runs(data, rows, (data != 0x20) & ((data < 0x09) | (data > 0x0D)))
+
+
+def split_runs(
+    data: np.ndarray, rows: np.ndarray, inside: np.ndarray
+) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """As ``split_words``, for the runs of bytes that are ``inside``."""
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = rows[:-1][rows[:-1] < rows[1:]]
