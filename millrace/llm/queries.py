@@ -39,16 +39,18 @@ WITH words AS (
         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x20\x09-\x0D]+') AS w
     FROM words
+), widths AS (
+    SELECT DISTINCT least(len(w), 5) AS k FROM cut WHERE is_item AND len(w) > 0
 ), spread AS (
-    SELECT is_item, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
-    FROM cut WHERE len(w) > 0
+    SELECT is_item, id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+    FROM cut JOIN widths ON len(w) >= k AND (NOT is_item OR k = least(len(w), 5))
 ), shingles AS (
-    SELECT DISTINCT is_item, id, array_to_string(w[i:i + 4], ' ') AS s FROM spread
+    SELECT DISTINCT is_item, id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM spread
 ), items AS (
-    SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE is_item
+    SELECT id AS item_id, k, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE is_item
 )
 SELECT d.id AS doc_id, item_id, count(*) AS n_shared, n AS n_shingles
-FROM shingles d JOIN items USING (s)
+FROM shingles d JOIN items USING (k, s)
 WHERE NOT d.is_item
 GROUP BY d.id, item_id, n
 HAVING 10 * count(*) >= 8 * n
