@@ -50,22 +50,19 @@ def without_repeats(texts, length):
 
 
 class Ppm:
-    """PPM with exclusion, escape method C; ``order`` bytes of context, all of ``full``."""
+    """PPM with exclusion, escape method C; all contexts of up to ``order`` bytes."""
 
-    def __init__(self, texts, least_share, order=4, full=2):
-        self.order, self.full = order, full
-        self.counts, self.n, self.share = defaultdict(Counter), 0, least_share
+    def __init__(self, texts, order=4):
+        self.order = order
+        self.counts = defaultdict(Counter)
         for text in texts:
             x = b"\xff" * order + lowered(text) + b"\xff"
             for i in range(order, len(x)):
-                self.n += 1
                 for k in range(order + 1):
                     self.counts[x[i - k : i]][x[i]] += 1
 
     def probability(self, context, symbol):
         k = self.order
-        while k > self.full and sum(self.counts[context[-k:]].values()) < max(1, self.n * self.share):
-            k -= 1
         p, out = 1.0, set()
         while k >= 0:
             here = self.counts[context[len(context) - k :]]

@@ -150,16 +150,16 @@ def corpus(texts):
     return rows + [(9001, None), (9002, ""), (9003, "é漢 ZZ zz"), (9004, "  "), (None, "no id"), (9003, "é漢 ZZ zz")]
 
 
-@pytest.mark.parametrize("share", [2.0**-14, 2.0**-6])
+@pytest.mark.parametrize("share", [2.0**-21, 2.0**-6, 2.0])
 def test_scores_equal_plain_models(spark, monkeypatch, corpus, share):
-    monkeypatch.setattr(ppm, "LEAST_SHARE", share)
+    monkeypatch.setattr(ppm, "FREQUENT_GRAMS", share)
     monkeypatch.setattr(ppm, "FREQUENT_SHARE", share)
-    monkeypatch.setattr(ppm.fit, "__defaults__", (share,))
+    monkeypatch.setattr(ppm, "TRIE_ROWS", 3000)
     training = {i: i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in corpus}
     learnt = [t for i, t in corpus if training[i]]
     counts = Counter(w for t in learnt for w in [*plain.WORD.findall(plain.lowered(t)), b""])
     n, v = sum(counts.values()), len(counts)
-    model = plain.Ppm(learnt, share)
+    model = plain.Ppm(learnt)
     docs = spark.createDataFrame(corpus, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS n")
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     rows = ppm.score_texts(docs.repartition(3), F.coalesce(~held, F.lit(True))).collect()
@@ -173,14 +173,30 @@ def test_scores_equal_plain_models(spark, monkeypatch, corpus, share):
         assert r.score == pytest.approx(model.score(own[r.doc_id]), rel=1e-4)
 
 
-def test_probabilities_add_up(spark, corpus):
-    docs = spark.createDataFrame(corpus, "doc_id long, text string")
-    for least in (2.0**-14, 2.0**-4):
-        tables = ppm.fit(ppm.gram_counts(docs), least)
-        sums = (10.0 ** tables.full.reshape(-1, 256).astype(float)).sum(axis=1)
-        assert np.allclose(sums, 1, atol=1e-4)
-        for contexts, rows in tables.longer:
-            assert len(contexts) <= 1 / least and np.allclose((10.0 ** rows.astype(float)).sum(axis=1), 1, atol=1e-4)
+def test_probabilities_add_up():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abc d", k=rng.randint(0, 60))) for _ in range(30)]
+    grams = Counter()
+    for text in texts:
+        x = b"\xff" * 4 + text.encode() + b"\xff"
+        grams.update(x[i : i + 5] for i in range(len(x) - 4))
+    pairs = np.zeros((256, 256))
+    for g, n in grams.items():
+        pairs[g[3], g[4]] += n
+    asked = {g[:4] for g in grams} | {b"aazq", b"zzzz", b"zbca", b"qqqa"}
+    every = sorted({c + bytes([s]) for c in asked for s in range(256)} | {*grams})
+    own = np.array([int.from_bytes(g, "big") for g in every], np.uint64)
+    logp = ppm.log_probabilities(own, np.array([grams[g] for g in every]), pairs)
+    sums = Counter()
+    for g, p in zip(every, logp, strict=True):
+        sums[g[:4]] += 10**p
+    assert all(sums[c] == pytest.approx(1) for c in asked)
+
+
+def test_the_model_grows_with_the_texts(spark, small):
+    docs = small["documents"].withColumn("held_out", F.lit(False))
+    part = ppm.gram_counts(docs.where("doc_id % 4 = 0")).count()
+    assert part < ppm.gram_counts(docs).count() == ppm.trie(ppm.gram_counts(docs)).count()
 
 
 def test_scores_without_training_or_rows(spark):
