@@ -1,8 +1,10 @@
 """Quality rules as a cascade that stops at the first rule a document fails.
 
-The verdict does not depend on the order, only the work does. Each rule is tried
-on a sample: how many rows it rejects, and how long that takes. Rules then run in
-order of rejections per second.
+A rule is an expression over a document's text, its measure included, and is worked out
+only for rows that no earlier rule has rejected. The verdict does not depend on the order,
+only the work does. Each rule is tried on a sample: how many rows it rejects, and what it
+costs, which is timed over as many repetitions as it takes to stand out from a job's own
+time. Rules then run in order of rejections per cost.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +20,10 @@ from pyspark.sql import functions as F
 from millrace.llm._scratch import dropped, written
 from millrace.llm._words import BLANKS, let, words
 
-_LEAST_SECONDS = 1e-3
+# Rows of a sample, whatever the size of the table.
+SAMPLE_ROWS = 2_000
+# A rule is repeated until its own seconds are so many, or so often.
+_ENOUGH_SECONDS, _MOST_TIMES = 0.2, 4096
 
 
 @dataclass(frozen=True)
@@ -30,30 +36,53 @@ class Rule:
 
 @dataclass(frozen=True)
 class Measured:
+    """``cost`` in seconds for each row of the sample."""
+
     rule: Rule
     rejected: float
-    seconds: float
+    cost: float
 
     @property
-    def worth(self) -> float:
-        return self.rejected / max(self.seconds, _LEAST_SECONDS)
+    def rank(self) -> tuple[float, float]:
+        """Most rejections per cost first, and of rules that reject nothing the cheapest. Costs count
+        in powers of two, so that no order hangs on what two runs of a rule differ by."""
+        cost = round(log2(self.cost))
+        return (-log2(self.rejected) + cost, 0.0) if self.rejected else (float("inf"), cost)
+
+
+def draw(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
+    """About ``rows`` rows of ``docs``, by chance; ``docs`` are counted first."""
+    share = min(1.0, rows / max(docs.count(), 1))
+    return docs.sample(share, seed).limit(2 * rows)
 
 
 def measure(sample: DataFrame, rules: Sequence[Rule]) -> list[Measured]:
-    """Share of rows rejected and seconds needed for each rule on a sample."""
-    sample = written(sample, "rule-sample")
+    """Share of rows rejected and cost of each rule on a sample, which must fit one task."""
+    sample = written(sample.coalesce(1), "rule-sample")
+    n = max(sample.count(), 1)
 
-    def seconds(column: Column) -> tuple[float, float]:
+    def seconds(column: Column, times: int) -> tuple[float, float]:
+        repeated = sample.withColumn("_time", F.explode(F.sequence(F.lit(1), F.lit(times))))
         began = time.perf_counter()
-        share = sample.agg(F.avg(column)).first()[0]
+        # Adding the number of the repetition keeps the rule from being worked out once for all.
+        share = repeated.agg(F.avg(F.when(column, 1.0).otherwise(0.0) + 0 * F.col("_time"))).first()[0]
         return share or 0.0, time.perf_counter() - began
 
-    seconds(F.lit(0))
-    _, idle = seconds(F.lit(0))
-    found = []
-    for rule in rules:
-        share, took = seconds(F.when(rule.fails, 1.0).otherwise(0.0))
-        found.append(Measured(rule, share, took - idle))
+    def settled(column: Column) -> tuple[float, float]:
+        times = 1
+        while True:
+            share, took = seconds(column, times)
+            took -= seconds(F.col("_time") < 0, times)[1]
+            if took >= _ENOUGH_SECONDS or times >= _MOST_TIMES:
+                break
+            grow = 2 * _ENOUGH_SECONDS / took if took > 0.05 else 16
+            times = min(_MOST_TIMES, int(times * min(max(grow, 2), 16)) + 1)
+        # What else the machine does only adds to a time, so the least of a few counts.
+        again = [seconds(column, times)[1] - seconds(F.col("_time") < 0, times)[1] for _ in range(2)]
+        return share, max(min(took, *again), 1e-6) / times / n
+
+    seconds(F.lit(False), 1)
+    found = [Measured(rule, *settled(rule.fails)) for rule in rules]
     dropped(sample)
     return found
 
@@ -61,19 +90,23 @@ def measure(sample: DataFrame, rules: Sequence[Rule]) -> list[Measured]:
 def cascade(docs: DataFrame, rules: Sequence[Rule], sample: DataFrame) -> DataFrame:
     """``docs`` with ``kept``: whether no rule fails.
 
-    The rules are estimated on ``sample`` (rows with the columns of ``docs``, such as
-    ``docs.sample(0.01)``) and then tried for each row in order of rejections per
-    second, up to the first that fails. The sample decides the order alone, so the
-    result is the same for any, an empty one included. Nulls
+    The rules are estimated on ``sample`` (rows with the columns of ``docs``, such as ``draw``
+    gives) and then tried for each row in order of rejections per cost, up to the first
+    that fails; what the others would have to work out is not worked out. The sample decides
+    the order alone, so the result is the same for any, an empty one included. Nulls
     fail no rule unless the rule says so; repeated rows and empty tables are fine;
     an existing column ``kept`` is an error.
     """
+    return tried(docs, [m.rule for m in sorted(measure(sample, rules), key=lambda m: m.rank)])
+
+
+def tried(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``docs`` with ``kept``, the rules tried in this order."""
     if "kept" in docs.columns:
         raise ValueError("column kept exists already")
-    ranked = sorted(measure(sample, rules), key=lambda m: -m.worth)
     failed = F.lit(False)
-    for m in reversed(ranked):
-        failed = F.when(F.coalesce(m.rule.fails, F.lit(False)), True).otherwise(failed)
+    for rule in reversed(rules):
+        failed = F.when(F.coalesce(rule.fails, F.lit(False)), True).otherwise(failed)
     return docs.withColumn("kept", ~failed)
 
 
@@ -84,8 +117,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with counts of every text: ``n_words``, ``word_chars``, ``n_symbols``, ``n_lines``,
     ``n_dup_lines`` and ``n_repeat_words`` (an existing column of such a name is an error).
 
-    A null text has zero of each; other columns pass through, repeated rows too. ``n_lines`` are lines with a word, ``n_dup_lines``
-    those equal to an earlier one, ``n_repeat_words`` the words in windows of three
+    A null text has zero of each; other columns pass through, repeated rows too. ``n_lines``
+    are lines with a word, ``n_dup_lines`` those equal to an earlier one, ``n_repeat_words`` the words in windows of three
     that occur more than once in the text. Windows are compared by a 64-bit hash
     of their words within one text. All of it is column work on single rows: the
     windows of a text are sorted, never paired.
@@ -93,6 +126,11 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     clash = {*_COUNTS} & {*docs.columns}
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already")
+    return docs.select("*", *(c.alias(name) for name, c in text_measures(text).items()))
+
+
+def text_measures(text: str = "text") -> dict[str, Column]:
+    """What ``measures`` counts, as expressions over the text, for rules that need only some of it."""
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
     chars = F.length(t) - F.regexp_count(t, F.lit("[\\x20\\x09-\\x0D]"))
@@ -104,9 +142,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
         let(words(t), lambda w: let(_triples(w), _covered)),
     ]
-    return docs.select(
-        "*", *(c.cast("long").alias(name) for name, c in zip(_COUNTS, counts, strict=True))
-    )
+    return {name: c.cast("long") for name, c in zip(_COUNTS, counts, strict=True)}
 
 
 def _triples(w: Column) -> Column:

@@ -100,34 +100,34 @@ def _letters() -> Column:
 
 
 def document_rules() -> list[quality_rules.Rule]:
-    """Rules over the columns of ``quality_rules.measures`` and ``text``."""
-    n = F.col("n_words")
+    """Rules over ``text``, each with the measures that it needs."""
+    m = quality_rules.text_measures()
+    n, chars, lines = m["n_words"], m["word_chars"], m["n_lines"]
     return [
         quality_rules.Rule("few words", n < 50),
-        quality_rules.Rule("repeats itself", 100 * F.col("n_repeat_words") > 50 * n),
-        quality_rules.Rule("symbols", 10 * F.col("n_symbols") > n),
-        quality_rules.Rule(
-            "equal lines", (F.col("n_lines") >= 5) & (2 * F.col("n_dup_lines") > F.col("n_lines"))
-        ),
-        quality_rules.Rule("short words", F.col("word_chars") < 2 * n),
-        quality_rules.Rule("long words", F.col("word_chars") > 20 * n),
-        quality_rules.Rule("few letters", 2 * _letters() < F.col("word_chars")),
+        quality_rules.Rule("repeats itself", 100 * m["n_repeat_words"] > 50 * n),
+        quality_rules.Rule("symbols", 10 * m["n_symbols"] > n),
+        quality_rules.Rule("equal lines", (lines >= 5) & (2 * m["n_dup_lines"] > lines)),
+        quality_rules.Rule("short words", chars < 2 * n),
+        quality_rules.Rule("long words", chars > 20 * n),
+        quality_rules.Rule("few letters", 2 * _letters() < chars),
     ]
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    sample = quality_rules.measures(docs.sample(0.01, 7))
-    judged = quality_rules.cascade(quality_rules.measures(docs), document_rules(), sample)
-    few, repeats = document_rules()[:2]
-    return judged.select(
+    judged = quality_rules.cascade(docs, document_rules(), quality_rules.draw(docs))
+    # The measures that the result shows are worked out for every row, beside the cascade.
+    n = F.col("n_words")
+    base_failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
+    return quality_rules.measures(judged).select(
         "doc_id",
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        (few.fails | repeats.fails).alias("base_failed"),
+        base_failed.alias("base_failed"),
         "kept",
     )
 

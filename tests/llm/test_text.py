@@ -83,12 +83,32 @@ def test_rules_run_by_worth_and_give_one_verdict(spark):
             judged = quality_rules.cascade(rows, order, sample)
             assert {r.id for r in judged.where("kept").collect()} == expected
     assert quality_rules.cascade(rows, [], rows).where("kept").count() == 1000
-    fast, slow = quality_rules.Measured(rules[0], 0.1, 0.01), quality_rules.Measured(rules[1], 0.5, 1.0)
-    assert fast.worth > slow.worth
+    fast, slow = quality_rules.Measured(rules[0], 0.1, 1e-6), quality_rules.Measured(rules[1], 0.5, 1e-4)
+    idle = quality_rules.Measured(rules[1], 0.0, 1e-9)
+    assert fast.rank < slow.rank < idle.rank
     with pytest.raises(ValueError, match="kept"):
         quality_rules.cascade(rows.withColumn("kept", F.lit(1)), rules, rows)
 
 
+def test_rules_are_worked_out_for_rows_that_reach_them_alone(spark):
+    rows = spark.range(1000).selectExpr("id", "IF(id % 10 = 0, 'bad', 'good') AS text")
+    bad = quality_rules.Rule("bad", F.col("text") == "bad")
+    never = F.when(F.col("text") == "bad", F.raise_error(F.lit("reached"))).otherwise(F.lit(False))
+    judged = quality_rules.tried(rows, [bad, quality_rules.Rule("dear", never.cast("boolean"))])
+    assert judged.where("kept").count() == 900
+    with pytest.raises(Exception, match="reached"):
+        quality_rules.tried(rows, [quality_rules.Rule("dear", never.cast("boolean")), bad]).collect()
+
+
+def test_costs_are_positive_and_decide_the_order(spark, small):
+    sample = quality_rules.draw(small["documents"].select("doc_id", "text"))
+    found = {m.rule.name: m for m in quality_rules.measure(sample, queries.document_rules())}
+    assert all(m.cost > 1e-8 for m in found.values())
+    # The dearest rule by far comes after a cheap one that rejects about as many.
+    assert found["repeats itself"].cost > 2 * found["few words"].cost
+    assert found["few words"].rank < found["repeats itself"].rank
+
+
 def test_measures_of_odd_texts(spark):
     rng = random.Random(2)
     texts = [None, "", " \n\t", "a", "a b", "la " * 500, "x y z x y z", "é#\n\né#\n b", "漢字 & 漢字\r\n漢字"]
