@@ -209,26 +209,65 @@ def anchors(words: Words, length: int) -> tuple[np.ndarray, ...]:
     return window, last, begin, keys
 
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """``key``, ``owner`` (of a text) and ``packed``: first window, steps to the anchor and to the last window."""
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys lie together, and where each group starts and the last ends."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order) + 1, bool)
+    new[0] = new[-1] = True
+    for key in keys:
+        new[1:-1] |= key[order[1:]] != key[order[:-1]]
+    return order, np.flatnonzero(new) if len(order) else np.zeros(1, np.int64)
+
+
+def _rest(values: np.ndarray, heads: np.ndarray) -> pa.Array:
+    """All but the first value of each group as a list; null where a group has one value."""
+    n = np.diff(heads)
+    inner = np.ones(len(values), bool)
+    inner[heads[:-1]] = False
+    offsets = np.append(0, np.cumsum(n - 1)).astype(np.int32)
+    starts = pa.array(offsets, mask=np.append(n == 1, False))
+    return pa.ListArray.from_arrays(starts, pa.array(values[inner]))
+
+
+def _anchors(texts: DataFrame, length: int) -> DataFrame:
+    """A row for each text and key of its anchors: ``key``, ``number`` (of the text), ``places`` where
+    the anchor starts, and ``packed``: first window, steps to the anchor and to the last window,
+    of the first run of windows, and ``more`` of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
             words = Words(batch.column("text"))
             first, last, begin, keys = anchors(words, length)
             text = np.searchsorted(words.starts, first, side="right") - 1
-            at = first - words.starts[text]
-            packed = at << 12 | begin - first << 6 | last - first
-            owner = batch.column("owner").to_numpy()[text]
-            columns = [pa.array(keys.view(np.int64)), pa.array(owner), pa.array(packed)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "owner", "packed"])
-
-    return docs.select("owner", "text").mapInArrow(run, "key long, owner long, packed long")
+            packed = first - words.starts[text] << 12 | begin - first << 6 | last - first
+            order, heads = _grouped(begin, keys, text)
+            begin, packed, keys = begin[order], packed[order], keys[order]
+            new = np.ones(len(order), bool)
+            new[1:] = begin[1:] != begin[:-1]
+            new[heads[:-1]] = True
+            # Groups of (key, text): those of (begin, key, text) put together.
+            own = text[order]
+            same = np.zeros(len(order), bool)
+            same[1:] = (keys[1:] == keys[:-1]) & (own[1:] == own[:-1])
+            heads = np.append(np.flatnonzero(~same), len(order))
+            at = heads[:-1]
+            places = np.add.reduceat(new.astype(np.int32), at) if len(at) else at
+            columns = [
+                pa.array(keys[at].view(np.int64)),
+                batch.column("number").take(pa.array(own[at])),
+                pa.array(places, pa.int32()),
+                pa.array(packed[at], pa.int64()),
+                _rest(packed, heads),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "number", "places", "packed", "more"])
+
+    found = "key long, number long, places int, packed long, more array<long>"
+    return texts.select("number", "text").mapInArrow(run, found)
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """``one``, ``two`` (hashes), ``number`` (of the text) and ``at`` of each window that ``spans``
-    (packed) name."""
+    """``one``, ``two`` (hashes), ``number`` (of the text) and the places of each window that ``spans``
+    (packed) name, a row for each text: ``at`` the first place, ``more`` the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
@@ -243,20 +282,28 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
             at = np.flatnonzero(np.cumsum(change) > 0)
             one, two = (r.of(at, at + length).view(np.int64) for r in _rollings(words))
             text = np.searchsorted(words.starts, at, side="right") - 1
-            number = batch.column("number").to_numpy()[text]
-            columns = [pa.array(c) for c in (one, two, number, at - words.starts[text])]
-            yield pa.RecordBatch.from_arrays(columns, ["one", "two", "number", "at"])
+            order, heads = _grouped(two, one, text)
+            own = order[heads[:-1]]
+            place = at - words.starts[text]
+            columns = [
+                pa.array(one[own]),
+                pa.array(two[own]),
+                batch.column("number").take(pa.array(text[own])),
+                pa.array(place[own], pa.int64()),
+                _rest(place[order], heads),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["one", "two", "number", "at", "more"])
 
-    return texts.mapInArrow(run, "one long, two long, number long, at long")
+    return texts.mapInArrow(run, "one long, two long, number long, at long, more array<long>")
 
 
 def _without(texts: DataFrame, length: int) -> DataFrame:
-    """``owner`` and ``n_words`` of each text, and what is left without the windows at ``at``."""
-    names = ["owner", "n_words", "changed_text", "n_removed"]
+    """``number`` of each text, and what is left without the windows at ``at``."""
+    names = ["number", "changed_text", "n_removed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            texts_, gone, sizes = [], [], []
+            texts_, gone = [], []
             columns = (batch.column(c).to_pylist() for c in ("text", "at"))
             for text, at in zip(*columns, strict=True):
                 words = text.encode().split()
@@ -266,12 +313,10 @@ def _without(texts: DataFrame, length: int) -> DataFrame:
                 keep = np.cumsum(change[:-1]) == 0
                 texts_.append(b" ".join(compress(words, keep)).decode())
                 gone.append(len(words) - int(keep.sum()))
-                sizes.append(len(words))
-            sizes, gone = pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())
-            columns = [batch.column("owner"), sizes, pa.array(texts_, pa.string()), gone]
+            columns = [batch.column("number"), pa.array(texts_, pa.string()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts.mapInArrow(run, "owner long, n_words long, changed_text string, n_removed long")
+    return texts.mapInArrow(run, "number long, changed_text string, n_removed long")
 
 
 def _plain(rows: DataFrame) -> DataFrame:
@@ -306,9 +351,9 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> Dat
     so repeated rows lose all their windows. Empty tables give no rows; an existing
     column of one of the four names is an error.
 
-    Texts are told apart by 64-bit hash and length, anchors by 64 bits
-    (which can only add candidates) and windows by 128. Equal texts are worked on
-    once. A text must fit a task, with some 40 times its size.
+    Texts and windows are told apart by 128 bits, anchors by 64 (which can only add
+    candidates). Equal texts are worked on once. A text must fit a task, with some 40 times
+    its size.
     """
     if not 12 <= length <= LONGEST_WINDOW:
         raise ValueError(f"windows have 12 to {LONGEST_WINDOW} words")
@@ -317,43 +362,46 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> Dat
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already")
     content = F.coalesce(text, F.lit(""))
-    identity = [F.xxhash64(content).alias("owner"), F.length(content).alias("size")]
-    own = docs.select(identity[0], content.alias("text"))
-    copies = docs.select(*identity).groupBy("owner", "size").agg(F.count(F.lit(1)).alias("n"))
-    copies = written(copies.where("n > 1").select("owner", "size"), "copied-texts")
-
-    found = written(_anchors(own, length), "anchors")
-    where = F.shiftright("packed", 12) + F.shiftright("packed", 6).bitwiseAND(F.lit(63))
-    place = F.xxhash64("owner", where)
-    keys = found.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    keys = keys.where("low <> high").select("key")
-    spans = found.join(keys, "key", "left_semi").select("owner", "packed").distinct()
-    spans = written(spans.groupBy("owner").agg(F.collect_list("packed").alias("spans")), "spans")
+    # Two differently seeded hashes, 128 bits together.
+    identity = [F.xxhash64(content).alias("one"), F.xxhash64(F.lit(1), content).alias("two")]
+    texts = docs.select(*identity, content.alias("text")).groupBy("one", "two")
+    # Copies shrink before the shuffle, in each map task. Numbers are mostly zero bytes.
+    texts = texts.agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    texts = written(texts.withColumn("number", F.monotonically_increasing_id()), "distinct-texts")
+
+    found = written(_anchors(texts, length), "anchors")
+    keys = found.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1").select("key")
+    # As a table of its own, so that a key of very many texts is split like any skewed join.
+    keys = written(keys, "repeated-anchors")
+    each = F.concat(F.array("packed"), F.coalesce("more", F.array().cast("array<bigint>")))
+    spans = found.join(keys, "key", "left_semi").select("number", each.alias("spans"))
+    spans = spans.groupBy("number").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = written(spans, "spans")
     dropped(found)
+    dropped(keys)
 
-    once = own.join(spans, "owner")
-    # One row of each text: copies shrink before the shuffle, in each map task.
-    once = once.groupBy("owner").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
-    # Numbers are mostly zero bytes, which shuffle smaller than hashes.
-    once = once.withColumn("number", F.monotonically_increasing_id())
-    texts = written(once, "texts-with-spans")
+    own = texts.select("number", "text")
+    windows = written(_windows(own.join(spans, "number"), length), "windows")
     dropped(spans)
-    windows = written(_windows(texts, length), "windows")
-    # A window stands once for each text and place, so a count says whether it repeats.
-    twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"))
-    twice = twice.where("n > 1").select("one", "two")
-    hits = windows.join(twice, ["one", "two"], "left_semi").groupBy("number")
-    hits = hits.agg(F.collect_list("at").alias("at"))
-    changed = texts.select("number", "owner", "text").join(hits, "number")
-    changed = written(_without(changed, length), "changed")
+    # A row stands for each text and its places, so a sum says whether a window repeats.
+    n = F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more"))
+    twice = windows.groupBy("one", "two").agg(F.sum(n).alias("n")).where("n > 1").select("one", "two")
+    twice = written(twice, "repeated-windows")
+    each = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<bigint>")))
+    hits = windows.join(twice, ["one", "two"], "left_semi").select("number", each.alias("at"))
+    hits = hits.groupBy("number").agg(F.flatten(F.collect_list("at")).alias("at"))
+    changed = written(_without(own.join(hits, "number"), length), "changed")
     dropped(windows)
-    changed = changed.withColumn("sha", F.sha2("changed_text", 256))
+    dropped(twice)
+    copied = (F.col("copies") > 1).alias("copied")
+    known = texts.select("one", "two", "number", copied).join(changed, "number", "left")
+    known = known.where(F.col("copied") | F.col("changed_text").isNotNull())
+    known = known.withColumn("sha", F.sha2("changed_text", 256)).drop("number")
 
     # Rows carry their own columns in one, so that no name can clash.
     rows = docs.select(F.struct(*docs.columns).alias("row"), *identity, content.alias("text"))
-    rows = _plain(rows).join(copies.withColumn("copied", F.lit(True)), ["owner", "size"], "left")
-    rows = rows.join(changed, ["owner", "n_words"], "left")
-    whole = F.col("copied").isNotNull() & (F.col("n_words") >= length)
+    rows = _plain(rows).join(known, ["one", "two"], "left")
+    whole = F.coalesce("copied", F.lit(False)) & (F.col("n_words") >= length)
     return rows.select(
         "row.*",
         "n_words",
