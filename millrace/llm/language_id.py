@@ -27,22 +27,37 @@ from millrace.llm._words import let
 BUCKETS = 1 << 16
 # Trigrams of a text are far from independent: a text counts as this many at most.
 MOST_TRIGRAMS = 60.0
+# Languages of a smaller share of the labelled texts are not told apart, so there are no more than
+# its inverse, and the model has no more than 2**26 numbers.
+LEAST_SHARE = 2.0**-10
 # How many pages the next wider level is worth in a prior.
 WORTH = 5.0
 SLICE_BYTES = 4 << 20
 LEVELS = ("host", "domain", "suffix")
 
 
+def _hidden(html: Column, opener: str, whole: str) -> Column:
+    """``html`` without parts that match ``whole``, which begins with ``opener``.
+
+    Cut before each opener, every piece is searched once from its start, so a page full of
+    openers that nothing closes takes no longer than any other.
+    """
+    parts = F.split(html, f"(?i)(?={opener})")
+    return F.array_join(F.transform(parts, lambda x: F.regexp_replace(x, f"(?is)^{whole}", " ")), "")
+
+
 def page_text(html: Column) -> Column:
-    """What is left of a page without scripts, styles, comments, tags and entities."""
-    hidden = "(?is)<!--.*?-->|<(script|style|head)\\b.*?</\\1\\s*>"
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), hidden, " ")
-    return F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", " "), "&#?\\w{1,31};", " ")
+    """What is left of a page without scripts, styles, comments, head, tags and entities."""
+    bare = _hidden(F.coalesce(html, F.lit("")), "<!--", "<!--.*?-->")
+    bare = _hidden(bare, "<(?:script|style)\\b", "<(script|style)\\b.*?</\\1\\s*>")
+    # Only the first head counts, and without its end it stays.
+    bare = F.regexp_replace(bare, "(?is)^(?>(.*?)<head\\b)(?>.*?</head\\s*>)", "$1 ")
+    return F.regexp_replace(F.regexp_replace(bare, "<[^<>]*+>", " "), "&#?\\w{1,31};", " ")
 
 
 def declared_language(html: Column) -> Column:
     """The primary tag of the lang attribute of ``<html>``, in lower case; empty without one."""
-    tag = "(?i)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([a-z]{2,8})"
+    tag = "(?i)<html\\b[^<>]*?\\blang\\s*=\\s*[\"']?([a-z]{2,8})"
     return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), tag, 1))
 
 
@@ -78,10 +93,10 @@ def train(texts: DataFrame, languages: Sequence[str]) -> np.ndarray:
             code, first = _trigrams(*utf8(batch.column("text")))
             lang = [place.get(x, -1) for x in batch.column("lang").to_pylist()]
             own = np.repeat(np.array(lang, np.int64), np.diff(first))
-            cell = (own * BUCKETS + code)[own >= 0]
-            n = np.bincount(cell, minlength=BUCKETS * len(languages))
-            cell = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], ["cell", "n"])
+            # As many counts as a slice has kinds of trigrams, however many languages there are.
+            cells = pa.array((own * BUCKETS + code)[own >= 0]).dictionary_encode()
+            n = np.bincount(cells.indices.to_numpy(), minlength=len(cells.dictionary))
+            yield pa.RecordBatch.from_arrays([cells.dictionary, pa.array(n)], ["cell", "n"])
 
     counted = texts.select("text", "lang").mapInArrow(run, "cell long, n long")
     found = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -143,19 +158,22 @@ def identify(
 ) -> DataFrame:
     """``page_id``, ``lang``, ``probability``, ``text_lang`` (by text alone), ``declared`` and ``host``.
 
-    ``texts`` has ``text`` and ``lang``; its languages (few, by nature) are those that can
-    be found, and rows with a null in either teach nothing. A page whose html is null or
+    ``texts`` has ``text`` and ``lang``; its languages of at least ``LEAST_SHARE`` of the rows are
+    those that can be found, and rows of others or with a null in either teach nothing. A page whose html is null or
     without text has no evidence from it; one without an address or a host has the prior
     of all pages, and one without a declared language is read by the others, where
     absence is a value like any other. Ties go to the first language in alphabetical
-    order. Repeated rows get a row each; without languages ``lang`` is null; empty tables
+    order. A page must fit a task; tags, scripts, styles and comments are taken out in time in
+    proportion to its length, closed or not. Repeated rows get a row each; without languages ``lang`` is null; empty tables
     give no rows; other columns are ignored.
 
     Sums over hosts are aggregated before the shuffle and joined back to numbers, not
     pages, so a host with a third of all pages is split like any skewed join.
     """
     known = texts.where("text is not null and lang is not null")
-    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
+    rows = known.count()
+    often = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rows * LEAST_SHARE)
+    languages = sorted(r.lang for r in often.collect())
     if not languages:
         return pages.select(
             F.col(page_id).alias("page_id"),

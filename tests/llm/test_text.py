@@ -55,10 +55,11 @@ def leaks():
 @pytest.mark.parametrize("rows", [0, 500_000])
 def test_leaks_equal_a_plain_search(spark, monkeypatch, rows):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", rows)
     docs, items = leaks()
     expected = set()
     for d, text in set(docs):
-        own = set(plain.shingles(text, 5))
+        own = {s for k in range(1, 6) for s in plain.shingles(text, k)}
         for i, item in items:
             asked = set(plain.shingles(item, 5))
             if asked and len(own & asked) >= ceil(round(0.8 * len(asked), 9)):
@@ -74,6 +75,28 @@ def test_leaks_equal_a_plain_search(spark, monkeypatch, rows):
     assert decontaminate.find_items(docs_, items_.limit(0)).count() == 0
 
 
+def test_short_items_are_found_inside_long_texts(spark):
+    rng = random.Random(9)
+    own = [f"w{i}" for i in range(900)]
+    rng.shuffle(own)
+    docs = spark.createDataFrame([(1, " ".join(own)), (2, "w1"), (3, None)], "doc_id long, text string")
+    items = [(k, " ".join(own[300 : 300 + k]).upper()) for k in range(1, 7)] + [(9, "w1"), (10, "w1 w1")]
+    found = decontaminate.find_items(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted((r.doc_id, r.item_id) for r in found.collect())
+    assert got == [(1, k) for k in range(1, 7)] + [(1, 9), (2, 9)]
+
+
+def test_no_words_travel_with_shingles(spark, monkeypatch):
+    """Beyond what may be broadcast, a shuffled row is a hash and its document, not the text's words."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", 0)
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    own = docs.select(decontaminate._key("doc_id", "text").alias("doc"), F.split("text", " ").alias("w"))
+    sketch = spark.createDataFrame([(1, 2, 1)], "hash long, item long, need long")
+    plan = decontaminate._candidates(own, sketch, 5)._jdf.queryExecution().sparkPlan().toString()
+    lines = [x for x in plan.splitlines() if re.search("Join|HashAggregate", x)]
+    assert lines and not any(re.search(r"\bw#", x) for x in lines)
+
+
 def test_rules_run_by_worth_and_give_one_verdict(spark):
     rows = spark.range(1000).selectExpr("id", "id % 10 AS a", "IF(id % 7 = 0, NULL, id % 2) AS b")
     rules = [quality_rules.Rule("a", F.col("a") == 3), quality_rules.Rule("b", F.col("b") == 1)]
@@ -270,7 +293,7 @@ def test_classifier_of_nulls_ties_and_nothing(spark):
     assert judged.columns == [*docs.columns, "evidence", "p_bad", "keep"] and judged.count() == 4
     assert judged.where("p_bad IS NULL OR keep IS NULL").count() == 0
     blind = quality_classifier.classify(docs, labels.limit(0)).collect()
-    assert [(r.evidence, r.p_bad, r.keep) for r in blind] == [(0.0, 0.5, False)] * 4
+    assert [(r.evidence, r.p_bad, r.keep) for r in blind] == [(0.0, 0.5, True)] * 4
     assert quality_classifier.classify(docs.limit(0), labels).count() == 0
     with pytest.raises(ValueError, match="keep"):
         quality_classifier.classify(docs.withColumn("keep", F.lit(1)), labels)
