@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from millrace.llm._arrow import appended, pieces
 from millrace.llm._scratch import written
 
-# Bounds of the fit: labelled rows in the sample, and words and traits that may have a rule.
-SAMPLE_ROWS, RULES = 20_000, 2_000
+# Bound of the fit: labelled texts in the sample. All their words and traits that occur
+# ``LEAST_ROWS`` times may have a rule, so what comes to the driver is bounded by the sample.
+SAMPLE_ROWS, LEAST_ROWS = 20_000, 3
 # Up to so many sites with labels are sent to every executor.
 BROADCAST_SITES = 100_000
 SYMBOLS = b"#*$%&|<>"
@@ -119,12 +120,8 @@ def boost(
 def fit(sample: DataFrame) -> tuple[float, dict[bytes, float]]:
     """Intercept, and the weight of each word or trait with a rule, from ``text`` and ``bad`` (0 or 1)."""
     counts = written(_trait_counts(sample), "trait-counts")
-    n_bad, n = (x or 0 for x in sample.agg(F.sum("bad"), F.count("bad")).first())
-    a, b = F.col("bad") + 0.5, F.col("good") + 0.5
-    odds = F.log(a / (n_bad + 1)) - F.log(b / (n - n_bad + 1))
-    strength = F.abs(odds) / F.sqrt(1 / a + 1 / b)
-    ranked = counts.where("bad + good >= 3").orderBy(strength.desc(), "trait").limit(RULES)
-    names = [bytes(r.trait) for r in ranked.collect()]
+    common = counts.where(F.col("bad") + F.col("good") >= LEAST_ROWS).orderBy("trait")
+    names = common.select("trait").toArrow()["trait"].to_pylist()
     place = {name: i for i, name in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
