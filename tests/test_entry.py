@@ -48,6 +48,14 @@ def test_can_do_without_the_training_data_operators(tmp_path):
     assert run.stdout.split() == ["shipped_line_summary"] * 2, run.stderr
 
 
+@pytest.mark.skipif("op1_decontamination" not in contract.queries(), reason="no operators to miss a library")
+def test_can_do_without_a_library_of_the_operators():
+    code = "import sys; sys.modules['public_tokenizers'] = None\nimport __spark_entry__ as e; print(*e.queries())"
+    repo = Path(contract.__file__).parent
+    run = subprocess.run([sys.executable, "-c", code], cwd=repo, capture_output=True, text=True)
+    assert run.stdout.split() == ["shipped_line_summary"] and "public_tokenizers" in run.stderr
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 @pytest.mark.parametrize("name", ["shipped_line_summary"])
 def test_query_equals_oracle(spark, name, sf):
