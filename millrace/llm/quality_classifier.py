@@ -103,7 +103,8 @@ def boost(
         w = 1.0 / (1.0 + np.exp(sign * score))  # how wrong each row still is
         for_ = np.bincount(trait, (w * bad)[row], n_traits)
         against = np.bincount(trait, (w * ~bad)[row], n_traits)
-        gain = np.abs(np.sqrt(for_) - np.sqrt(against))
+        # Rounded, so that the order of rows, which sums depend on, decides no tie.
+        gain = np.round(np.abs(np.sqrt(for_) - np.sqrt(against)), 9)
         best = int(gain.argmax())
         if gain[best] < 1.0:
             break
