@@ -12,7 +12,8 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import log2
+from functools import cache
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ from millrace.llm._scratch import dropped, written
 from millrace.llm._words import BLANKS, let, words
 
 # Rows of a sample, whatever the size of the table.
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 1_000
 # A rule is repeated until its own seconds are so many, or so often.
-_ENOUGH_SECONDS, _MOST_TIMES = 0.2, 4096
+_ENOUGH_SECONDS, _MOST_TIMES = 0.15, 4096
 
 
 @dataclass(frozen=True)
@@ -68,17 +69,22 @@ def measure(sample: DataFrame, rules: Sequence[Rule]) -> list[Measured]:
         share = repeated.agg(F.avg(F.when(column, 1.0).otherwise(0.0) + 0 * F.col("_time"))).first()[0]
         return share or 0.0, time.perf_counter() - began
 
+    # What else the machine does only adds to a time, so the least of a few counts.
+    @cache
+    def idle(times: int) -> float:
+        return min(seconds(F.col("_time") < 0, times)[1] for _ in range(3))
+
     def settled(column: Column) -> tuple[float, float]:
         times = 1
         while True:
             share, took = seconds(column, times)
-            took -= seconds(F.col("_time") < 0, times)[1]
+            took -= idle(times)
             if took >= _ENOUGH_SECONDS or times >= _MOST_TIMES:
                 break
+            # Powers of two, so that rules share what a job takes without them.
             grow = 2 * _ENOUGH_SECONDS / took if took > 0.05 else 16
-            times = min(_MOST_TIMES, int(times * min(max(grow, 2), 16)) + 1)
-        # What else the machine does only adds to a time, so the least of a few counts.
-        again = [seconds(column, times)[1] - seconds(F.col("_time") < 0, times)[1] for _ in range(2)]
+            times = min(_MOST_TIMES, times << ceil(log2(min(max(grow, 2), 16))))
+        again = [seconds(column, times)[1] - idle(times) for _ in range(2)]
         return share, max(min(took, *again), 1e-6) / times / n
 
     seconds(F.lit(False), 1)
