@@ -115,7 +115,9 @@ def find_items(
     sizes = small.groupBy("width").agg(F.count(F.lit(1)).alias("n"))
     # At most ``width`` of them.
     widths = {r.width: r.n for r in sizes.collect()} or {width: 0}
-    cut = own.select("doc", words(_lowered(F.col("text"))).alias("w"))
+    # Exploded, so that no filter on the words is moved in front and works them out again.
+    w = F.explode(F.array(words(_lowered(F.col("text"))))).alias("w")
+    cut = own.select("doc", w)
     found = [_candidates(cut, small.where((F.col("width") == k) & F.col("in_sketch")), k) for k in widths]
     candidates = found[0]
     for more in found[1:]:
@@ -124,7 +126,7 @@ def find_items(
 
     docs_ = candidates.select("doc").distinct()
     again = own.join(docs_, "doc", "left_semi").distinct()
-    again = again.select("doc", "doc_id", words(_lowered(F.col("text"))).alias("w"))
+    again = again.select("doc", "doc_id", w)
     shared = []
     for k, n in widths.items():
         every = small.where(F.col("width") == k).drop("width", "in_sketch")
