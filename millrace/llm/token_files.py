@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._arrow import pieces
-from millrace.llm._chunks import ChunkStore
+from millrace.llm._arrow import pieces, utf8
+from millrace.llm._chunks import ChunkStore, cut
 from millrace.llm._scratch import partitions
 
 MAGIC = b"MILLTOK1"
@@ -109,6 +110,54 @@ class Segment:
         return self.ids(int(self.starts[index]), int(self.starts[index + 1]))
 
 
+class FlatStore(ChunkStore):
+    """A store whose ``encode`` gives all ids on end: the chunks in an order of its own, how many
+    ids each has, and the ids."""
+
+    def _add(self, chunks: list[bytes]) -> None:
+        ordered, lengths, ids = self.encode(chunks)
+        n, first = len(ordered), len(self.row)
+        while first + n > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.lengths[first : first + n] = lengths
+        self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.row.update(zip(ordered, range(first, first + n)))
+
+    def _rows(self, chunks: list[bytes]) -> np.ndarray:
+        if len(self.row) >= self.limit:
+            self.clear()
+        rows = np.fromiter(map(self.row.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = [chunks[k] for k in missing.tolist()]
+            self._add(new)
+            rows[missing] = np.fromiter(map(self.row.__getitem__, new), np.int64, len(new))
+        return rows
+
+    def lookup(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, rows = utf8(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        starts, first = cut(data, rows)
+        buffers = [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)]
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, buffers)
+        coded = chunks.dictionary_encode()
+        row = self._rows(coded.dictionary.to_pylist())
+        # The ids of each chunk once, and then whole lists of them for all its places.
+        lengths = self.lengths[row]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(self.starts[row] - ends[:-1], lengths) + np.arange(ends[-1])
+        each = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(self.ids[at]))
+        ids = each.take(coded.indices).flatten().to_numpy()
+        places = np.concatenate([[0], np.cumsum(lengths[coded.indices.to_numpy()])])
+        return ids, places[first]
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -120,22 +169,28 @@ class Encoder:
         vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.store = ChunkStore(self.encode, limit=700_000)
+        self.store = FlatStore(self.encode, limit=700_000)
 
-    def encode(self, chunks: list[bytes]) -> list[list[int]]:
-        """Ids of each chunk. Those of a blank and a word are encoded many on end, which is
-        faster, and taken apart before each token that begins with the blank."""
+    def encode(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The chunks in a new order, and lengths and ids of each. Those of a blank and a word are
+        encoded many on end, which is faster, and taken apart before each token that begins with
+        the blank."""
         plain, odd = [], []
         for c in chunks:
             (plain if _PLAIN(c) else odd).append(c)
-        found = dict(zip(odd, self._ids(odd), strict=True))
         runs = [plain[at : at + RUN] for at in range(0, len(plain), RUN)]
+        lengths, found = [], []
         for run, ids in zip(runs, self._ids([b"".join(run) for run in runs]), strict=True):
-            at = np.append(np.flatnonzero(self.blank[ids]), len(ids)).tolist()
+            ids = np.array(ids, np.uint32)
+            at = np.append(np.flatnonzero(self.blank[ids]), len(ids))
             if len(at) != len(run) + 1:
                 raise ValueError("a blank before a word must begin a token")
-            found.update((c, ids[a:b]) for c, a, b in zip(run, at, at[1:]))
-        return [found[c] for c in chunks]
+            lengths.append(np.diff(at))
+            found.append(ids)
+        others = self._ids(odd)
+        lengths.append(np.fromiter(map(len, others), np.int64, len(others)))
+        found.append(np.fromiter((i for ids in others for i in ids), np.uint32))
+        return plain + odd, np.concatenate(lengths), np.concatenate(found)
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
         decoded = [t.decode() for t in texts]
