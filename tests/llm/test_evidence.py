@@ -110,6 +110,13 @@ def test_the_sample_is_bounded_under_a_hot_id(spark, monkeypatch):
     assert judged.count() == 3000 and sizes[0] < 300
 
 
+def test_priors_by_shuffle_are_those_by_broadcast(spark, small, monkeypatch):
+    judged = lambda: {r.doc_id: r.p_bad for r in quality_classifier.classify(small["documents"], small["labels"]).collect()}
+    sent = judged()
+    monkeypatch.setattr(quality_classifier, "BROADCAST_SITES", 0)
+    assert judged() == pytest.approx(sent)
+
+
 def plain_page_text(html):
     html = re.sub(r"(?s)<!--.*?-->", " ", html or "")
     html = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", html)

@@ -150,6 +150,36 @@ def test_families_without_their_original_are_linked_like_by_brute_force(spark, c
     assert sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(rows)
 
 
+def test_few_candidates_of_a_family_that_is_hardly_linked(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for at in rng.sample(range(200), rng.randint(3, 4)):
+            own[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    made, written = Counter(), similar.written
+
+    def counted(frame, name):
+        table = written(frame, name)
+        made[name] += table.count()
+        return table
+
+    monkeypatch.setattr(similar, "written", counted)
+    similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert made["candidates"] == 299 and made["more-candidates"] < 0.2 * 300 * 299 / 2
+
+
+def test_one_of_several_texts_with_one_id_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text + " more"), (1, text + " more"), (2, text + " yet"), (3, "x"), (None, text + " none")]
+    kept = [tuple(r) for r in similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 2 and (3, "x") in kept and [d for d, _ in kept].count(1) == 1
+    nobody = spark.createDataFrame([(None, text), (None, text + " more"), (None, text)], "doc_id long, text string")
+    assert similar.keep_one(nobody).count() == 1
+
+
 def test_cut_and_extended_copies_are_found(spark):
     rng = random.Random(12)
     rows = []
@@ -198,6 +228,16 @@ def test_repeats_go_wherever_they_start_twice(spark, length):
     assert Counter(map(tuple, got.select(*names).collect())) == expected
 
 
+def test_a_text_of_one_word_gives_one_row_for_each_key(spark):
+    """Anchors inside a run of one word all have the same key, and its windows are all equal."""
+    texts = spark.createDataFrame([(1, "z " * 500), (2, "a b " * 300)], "number long, text string")
+    found = substring_dedup._anchors(texts, 35)
+    assert found.count() == found.select("number", "key").distinct().count()
+    spans = texts.selectExpr("*", "array(0L << 12 | 63L, 64L << 12 | 63L) AS spans")
+    windows = substring_dedup._windows(spans, 35).collect()
+    assert len(windows) == 1 + 2 and sum(1 + len(w.more) for w in windows) == 2 * 128
+
+
 def test_repeats_of_nothing_and_clashes(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.remove_repeats(none).count() == 0
