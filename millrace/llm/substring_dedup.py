@@ -380,9 +380,13 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> Dat
     dropped(found)
     dropped(keys)
 
-    own = texts.select("number", "text")
-    windows = written(_windows(own.join(spans, "number"), length), "windows")
+    # From here on only texts with a repeated anchor are needed, and what the others are called.
+    own = written(texts.select("number", "text").join(spans, "number"), "texts-with-spans")
+    names = written(texts.select("one", "two", "number", (F.col("copies") > 1).alias("copied")), "text-names")
     dropped(spans)
+    dropped(texts)
+    # Worked out twice, since that costs less than keeping them.
+    windows = _windows(own, length)
     # A row stands for each text and its places, so a sum says whether a window repeats.
     n = F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more"))
     twice = windows.groupBy("one", "two").agg(F.sum(n).alias("n")).where("n > 1").select("one", "two")
@@ -390,11 +394,12 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> Dat
     each = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<bigint>")))
     hits = windows.join(twice, ["one", "two"], "left_semi").select("number", each.alias("at"))
     hits = hits.groupBy("number").agg(F.flatten(F.collect_list("at")).alias("at"))
-    changed = written(_without(own.join(hits, "number"), length), "changed")
-    dropped(windows)
+    hits = written(hits, "repeated-places")
     dropped(twice)
-    copied = (F.col("copies") > 1).alias("copied")
-    known = texts.select("one", "two", "number", copied).join(changed, "number", "left")
+    changed = written(_without(own.select("number", "text").join(hits, "number"), length), "changed")
+    dropped(own)
+    dropped(hits)
+    known = names.join(changed, "number", "left")
     known = known.where(F.col("copied") | F.col("changed_text").isNotNull())
     known = known.withColumn("sha", F.sha2("changed_text", 256)).drop("number")
 
