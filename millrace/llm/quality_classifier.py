@@ -90,31 +90,43 @@ def boost(
     Rounds end when no trait gains 1; a step that would not lessen the loss is halved, so
     every round lessens it and they do end.
     """
-    order = np.argsort(trait, kind="stable")
+    order = np.argsort(row, kind="stable")
     row, trait = row[order], trait[order]
-    first = np.searchsorted(trait, np.arange(n_traits + 1))
+    has = np.searchsorted(row, np.arange(len(bad) + 1))
+    order = np.argsort(trait, kind="stable")
+    rows = row[order]
+    first = np.searchsorted(trait[order], np.arange(n_traits + 1))
+    del order
     sign = np.where(bad, 1.0, -1.0)
     smooth = 1.0
     n_bad, n_good = float(bad.sum()), float((~bad).sum())
     start = float(np.log((n_bad + smooth) / (n_good + smooth)))
     score = np.full(len(bad), start)
     weights = np.zeros(n_traits)
+    w = 1.0 / (1.0 + np.exp(sign * score))  # how wrong each row still is
+    for_ = np.bincount(trait, (w * bad)[row], n_traits)
+    against = np.bincount(trait, (w * ~bad)[row], n_traits)
     while n_traits:
-        w = 1.0 / (1.0 + np.exp(sign * score))  # how wrong each row still is
-        for_ = np.bincount(trait, (w * bad)[row], n_traits)
-        against = np.bincount(trait, (w * ~bad)[row], n_traits)
         # Rounded, so that the order of rows, which sums depend on, decides no tie.
-        gain = np.round(np.abs(np.sqrt(for_) - np.sqrt(against)), 9)
+        up, down = np.maximum(for_, 0), np.maximum(against, 0)
+        gain = np.round(np.abs(np.sqrt(up) - np.sqrt(down)), 9)
         best = int(gain.argmax())
         if gain[best] < 1.0:
             break
-        step = float(np.log((for_[best] + smooth) / (against[best] + smooth)))
-        own = row[first[best] : first[best + 1]]
+        step = float(np.log((up[best] + smooth) / (down[best] + smooth)))
+        own = rows[first[best] : first[best + 1]]
         loss = np.logaddexp(0, -sign[own] * score[own]).sum()
         while np.logaddexp(0, -sign[own] * (score[own] + step)).sum() > loss - _LEAST_DROP:
             step /= 2
         weights[best] += step
         score[own] += step
+        # Only these rows, and so the sums of their traits, have changed.
+        change = 1.0 / (1.0 + np.exp(sign[own] * score[own])) - w[own]
+        w[own] += change
+        size = has[own + 1] - has[own]
+        at = np.repeat(has[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        for_ += np.bincount(trait[at], np.repeat(change * bad[own], size), n_traits)
+        against += np.bincount(trait[at], np.repeat(change * ~bad[own], size), n_traits)
     return start, weights
 
 
@@ -136,7 +148,9 @@ def fit(sample: DataFrame) -> tuple[float, dict[bytes, float]]:
     own = rows["own"].combine_chunks()
     row = np.repeat(np.arange(rows.num_rows, dtype=np.int32), own.value_lengths())
     bad = rows["bad"].to_numpy().astype(bool)
-    start, weights = boost(row, own.flatten().to_numpy(), len(names), bad)
+    own = own.flatten().to_numpy()
+    del rows
+    start, weights = boost(row, own, len(names), bad)
     return start, {name: w for name, w in zip(names, weights.tolist(), strict=True) if w}
 
 
