@@ -82,7 +82,8 @@ def _trait_counts(sample: DataFrame) -> DataFrame:
 def boost(
     row: np.ndarray, trait: np.ndarray, n_traits: int, bad: np.ndarray
 ) -> tuple[float, np.ndarray]:
-    """Intercept and weight of each trait as log odds of ``bad``, given which ``row`` has which ``trait``.
+    """Intercept and weight of each trait as log odds of ``bad``, given which ``row`` has which ``trait``,
+    rows in ascending order.
 
     Each round takes the trait that parts the rows best as they are weighted now, and
     adds its weighted log odds; rows without it are left alone. Later rounds see little
@@ -90,13 +91,9 @@ def boost(
     Rounds end when no trait gains 1; a step that would not lessen the loss is halved, so
     every round lessens it and they do end.
     """
-    order = np.argsort(row, kind="stable")
-    row, trait = row[order], trait[order]
-    has = np.searchsorted(row, np.arange(len(bad) + 1))
-    order = np.argsort(trait, kind="stable")
-    rows = row[order]
-    first = np.searchsorted(trait[order], np.arange(n_traits + 1))
-    del order
+    has = np.searchsorted(row, np.arange(len(bad) + 1, dtype=row.dtype))
+    rows = row[np.argsort(trait, kind="stable")]
+    first = np.append(0, np.cumsum(np.bincount(trait, minlength=n_traits)))
     sign = np.where(bad, 1.0, -1.0)
     smooth = 1.0
     n_bad, n_good = float(bad.sum()), float((~bad).sum())
