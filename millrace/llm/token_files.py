@@ -37,6 +37,7 @@ MAGIC = b"MILLTOK1"
 HEADER = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 8192
 SEGMENT_IDS = 1 << 20
+SLICE_BYTES = 4 << 20
 # A blank and then characters of one or two bytes of which none is white space.
 _PLAIN = re.compile(rb" [\x21-\x7E\x80-\xBF\xC3-\xDF]+").fullmatch
 # So many chunks are encoded on end.
@@ -169,7 +170,7 @@ class Encoder:
         vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.store = FlatStore(self.encode, limit=700_000)
+        self.store = FlatStore(self.encode, limit=450_000)
 
     def encode(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The chunks in a new order, and lengths and ids of each. Those of a blank and a word are
@@ -247,7 +248,7 @@ def segments(
             columns = [pa.array(v, t) for v, t in zip(row, types, strict=True)]
             return pa.RecordBatch.from_arrays(columns, _SEGMENT.names)
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SLICE_BYTES):
             ids, at = encoder.store.lookup(batch.column("text"))
             ids = np.insert(ids, at[1:], end_id)
             keys += batch.column("doc_id").to_pylist()
