@@ -18,7 +18,7 @@ all other pairs of a star.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 from math import ceil
 
@@ -294,6 +294,7 @@ def groups(
     width: int = 5,
     doc_id: str = "doc_id",
     text: str = "text",
+    also: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``one`` and ``two`` (hashes of a text), and ``least_id``, ``least_one``, ``least_two``: of the texts in
     its group, the one with the smallest ``doc_id`` (null last), then the smallest hashes.
@@ -305,12 +306,16 @@ def groups(
     pair is missed, but for those that other links connect anyway. Texts and sets are told
     apart by 128 bits. An empty table gives no rows.
 
+    ``also`` gives further links: two columns of ``number`` for the distinct texts, of which it
+    gets ``number`` and ``text`` (null is empty). A group is what links of either kind connect.
+
     Of a key with more than ``CROWDED`` sets no pairs are made but with one of them, and
     those that differ from that one in enough of the same shingles.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), *_identity(text), F.coalesce(text, F.lit("")).alias("text"))
     texts = own.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
     texts = written(texts.withColumn("number", F.monotonically_increasing_id()), "texts")
+    given = written(also(texts.select("number", "text")).toDF("a", "b"), "given-links") if also else None
     counts = docs.sparkSession.sparkContext.broadcast(_bucket_counts(texts, width))
     marked = written(_prefixes(texts, width, similarity, counts), "marked")
     # Equal sets are one node, with the smallest number.
@@ -323,15 +328,17 @@ def groups(
     ends = ends.union(stars.select("id")).union(stars.select("middle")).distinct()
     sets = written(_sets(texts.join(ends, "number", "left_semi"), width), "shingle-sets")
     links = _verified(pairs, sets, similarity)
+    # Texts of one node, since other links go by texts and not by nodes.
+    links = links.union(marked.where("number <> id").select("number", "id"))
+    if given is not None:
+        links = links.union(given)
     if not stars.isEmpty():
         others = written(_other_pairs(stars, sets, links, similarity), "more-candidates")
         links = links.union(_verified(others, sets, similarity))
 
-    found = components(links).toDF("id", "component")
-    of = marked.select("number", "id").join(found, "id", "left")
-    of = of.select("number", F.coalesce("component", "id").alias("component"))
-    of = texts.select("number", "one", "two", "least").join(of, "number", "left")
-    # Texts without words are in no set, and each is a group of its own.
+    found = components(links).toDF("number", "component")
+    of = texts.select("number", "one", "two", "least").join(found, "number", "left")
+    # A text that nothing links is a group of its own; one without words is in no set.
     of = of.withColumn("component", F.coalesce("component", "number"))
     rank = F.struct(F.col("least").isNull().alias("none"), "least", "one", "two")
     # As a table of its own, so that a component of very many texts is split like any skewed join.

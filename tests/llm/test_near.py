@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 import xxhash
 
+import corpus_pipeline
 import plain
 from millrace.llm import queries, simhash, similar, substring_dedup
 from millrace.llm.components import components
@@ -191,6 +192,35 @@ def test_cut_and_extended_copies_are_found(spark):
     assert sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(rows) == list(range(80))
 
 
+def test_pipeline_links_near_copies_by_fingerprint_and_by_similarity(spark):
+    """Texts that mostly repeat one passage have its fingerprint and few 5-word shingles in common."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(1000 + i, t) for i, t in near_copies() if t] + [(2000, None), (2001, ""), (2002, " \n"), (2003, "\t")]
+    for i in range(10):
+        passage, own = fresh(3), fresh(60)
+        changed = [*own[:30], "changed", *own[31:]]
+        rows += [
+            (10 * i, " ".join(passage * 100 + fresh(60))),
+            (10 * i + 1, " ".join(passage * 100 + own)),
+            # The same set of shingles as the one before, but another fingerprint.
+            (10 * i + 2, " ".join(passage * 3 + own)),
+            (10 * i + 3, " ".join(passage * 3 + changed)),
+            (10 * i + 4, " ".join(fresh(60))),
+        ]
+    own = {d: fingerprint(t) for d, t in rows}
+    sets = {d: set(plain.shingles(t, 5)) for d, t in rows}
+    close = within(own, 2)
+    alike = [(a, b) for a, b in combinations(sets, 2) if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    expected = set(plain.linked(own, close + alike).values())
+    assert expected < set(plain.linked(own, close).values()) and expected < set(plain.linked(own, alike).values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(kept) == sorted(expected)
+    blank = {d for d in sets if not sets[d]}
+    assert len(blank) > 4 and len(blank & expected) == 1 and {d for d in expected if d < 100} == {10 * i + k for i in range(10) for k in (0, 4)}
+
+
 def repeats():
     rng = random.Random(5)
     base = [[rng.choice("ab") for _ in range(400)] for _ in range(3)]
